@@ -12,6 +12,7 @@ from annalist.llm.exact_dedup import DigestIndex
 from annalist.llm.html_text import extract_text
 from annalist.llm.minhash import near_duplicates
 from annalist.llm.packing import pack
+from annalist.llm.quality import score_quality
 from annalist.llm.shared import table
 from annalist.llm.warc import archive_pages
 
@@ -42,6 +43,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_minhash_near_dedup,
         op6_html_extraction,
         op7_embedding_near_dedup,
+        op9_quality_classifier,
     )
 }
 
