@@ -13,6 +13,7 @@ from annalist.llm.html_text import extract_text
 from annalist.llm.minhash import near_duplicates
 from annalist.llm.packing import pack
 from annalist.llm.quality import score_quality
+from annalist.llm.secrets import find_secrets
 from annalist.llm.shared import table
 from annalist.llm.warc import archive_pages
 
@@ -47,6 +48,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_html_extraction,
         op7_embedding_near_dedup,
         op9_quality_classifier,
+        op10_secret_scans,
     )
 }
 
