@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm.embedding_dedup import near_duplicate_vectors
 from annalist.llm.exact_dedup import DigestIndex
+from annalist.llm.hmm import score_texts
 from annalist.llm.html_text import extract_text
 from annalist.llm.minhash import near_duplicates
 from annalist.llm.packing import pack
@@ -18,6 +19,10 @@ from annalist.llm.shared import table
 from annalist.llm.warc import archive_pages
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DigestIndex(spark).ingest(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lm_scoring,
         op2_exact_dedup,
         op3_best_fit_packing,
         op4_warc,
