@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annalist.llm import wordhash
 from annalist.llm.shared import settle
@@ -172,20 +173,10 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 5 == 0, F.lit(False))
 
 
-def score_quality(
-    docs: DataFrame,
-    labels: DataFrame,
-    threshold: float = 0.3,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    label_column: str = "quality",
-    sample: int = SAMPLE,
-) -> DataFrame:
-    """→ one row per input row: doc_id, held_out, score (0 to 1), predicted (1 from `threshold` on).
-
-    Labels are learnt only from ids whose CRC-32 modulo 5 is not 0, at most `sample` of them; rows with a null id or
-    label teach nothing. Null and empty texts are scored like any other. Without usable labels every score is one half.
-    """
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE
+) -> tuple[np.ndarray, Network]:
+    """Vectors from all texts, and a network fitted on at most `sample` labelled rows (see `score_quality`)."""
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     vectors = word_vectors(source.select("text"))
     known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).where(
@@ -200,15 +191,39 @@ def score_quality(
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES, dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), flat], names=["doc_id", "label", "x"])
 
-    taught = source.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label")  # `sample` rows at most
+    taught = source.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label")  # `sample` ids at most
     rows = taught.mapInArrow(featurise, "doc_id long, label int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, FEATURES), np.float32)
-    net = fit(x, rows["label"].to_numpy() > 0)
+    return vectors, fit(x, rows["label"].to_numpy() > 0)
+
+
+def with_score(docs: DataFrame, vectors: np.ndarray, net: Network, text_column: str = "text", score_column: str = "score") -> DataFrame:
+    """`docs` with all its columns and the score of each row, without a shuffle."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = net.probability(features(batch.column(1), vectors).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
+            text = batch.column(batch.schema.get_field_index(text_column))
+            p = net.probability(features(text, vectors).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, score_column])
+
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(score_column, T.DoubleType())]))
 
-    scored = source.mapInArrow(score, "doc_id long, score double")
+
+def score_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.3,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    label_column: str = "quality",
+    sample: int = SAMPLE,
+) -> DataFrame:
+    """→ one row per input row: doc_id, held_out, score (0 to 1), predicted (1 from `threshold` on).
+
+    Labels are learnt only from ids whose CRC-32 modulo 5 is not 0, at most `sample` of them; rows with a null id or
+    label teach nothing. Null and empty texts are scored like any other. Without usable labels every score is one half.
+    """
+    vectors, net = fit_quality(docs, labels, id_column, text_column, label_column, sample)
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    scored = with_score(source, vectors, net).drop("text")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

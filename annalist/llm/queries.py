@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from annalist.llm.embedding_dedup import near_duplicate_vectors
 from annalist.llm.exact_dedup import DigestIndex
 from annalist.llm.hmm import score_texts
 from annalist.llm.html_text import extract_text
 from annalist.llm.minhash import near_duplicates
+from annalist.llm.mixing import mix_sources
 from annalist.llm.packing import pack
 from annalist.llm.quality import score_quality
 from annalist.llm.secrets import find_secrets
@@ -49,6 +51,14 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"), max_repetition=2.0)
+    return mix.select(
+        "doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("weight"),
+        F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_place").alias("place"),
+    )
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -67,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_minhash_near_dedup,
         op6_html_extraction,
         op7_embedding_near_dedup,
+        op8_source_mixing,
         op9_quality_classifier,
         op10_secret_scans,
     )
@@ -80,4 +91,51 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)
         )
     """,
+    "op8_source_mixing": r"""
+        WITH docs AS (
+            SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS s,
+                len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n,
+                ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17:doc'), 1, 15))::BIGINT AS k
+            FROM documents
+        ), totals AS (SELECT s, count(*) AS r, sum(n)::BIGINT AS t FROM docs GROUP BY s
+        ), exponent AS (
+            SELECT sum(t)::DOUBLE AS w, CASE
+                WHEN count(*) < 2 OR max(t) = min(t) THEN 1.0::DOUBLE
+                WHEN max(t) / min(t) > 2.0 THEN least(1.0, ceil(round((1 - ln(2.0) / ln(max(t) / min(t))) * 1e6, 3)) / 1e6)::DOUBLE
+                ELSE 0.0::DOUBLE END AS x
+            FROM totals
+        ), powers AS (SELECT s, r, t, w, pow(t / w, x) AS p, (t / w) / pow(t / w, x) AS q FROM totals, exponent
+        ), plan AS (
+            SELECT s, p / sum(p) OVER () AS weight, greatest(ceil(r / 1024), 1)::BIGINT AS blocks, t,
+                round(p / sum(p) OVER () * (w * sum(p) OVER () * max(q) OVER ()))::BIGINT AS quota
+            FROM powers
+        ), placed AS (
+            SELECT doc_id, source, docs.s, n, weight, blocks, quota // t AS epochs, quota % t AS rest, k % blocks AS block
+            FROM docs JOIN plan ON docs.s = plan.s
+        ), sums AS (
+            SELECT s, block, epochs, rest, sum(n) AS n,
+                ('0x' || substr(md5(s || ':' || block || ':' || (epochs + 1) || ':17'), 1, 15))::BIGINT AS place
+            FROM placed GROUP BY s, block, epochs, rest
+        ), along AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY place, block ROWS UNBOUNDED PRECEDING) AS until FROM sums
+        ), cuts AS (SELECT s, block AS cut_block, place AS cut_place, rest - until + n AS room FROM along WHERE until > rest AND until - n <= rest
+        ), inside AS (
+            SELECT placed.s, n, room, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || (epochs + 1) || ':17'), 1, 15))::BIGINT AS place
+            FROM placed JOIN cuts ON placed.s = cuts.s AND block = cut_block
+        ), fits AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY place RANGE UNBOUNDED PRECEDING) AS until FROM inside
+        ), lasts AS (SELECT s, max(place) AS last_place FROM fits WHERE until <= room GROUP BY s
+        ), decided AS (
+            SELECT placed.*, epochs + CASE WHEN
+                coalesce((own_block, block) < (cut_place, cut_block), false) OR coalesce(block = cut_block AND own_place <= last_place, false)
+                THEN 1 ELSE 0 END AS copies
+            FROM (
+                SELECT *, ('0x' || substr(md5(s || ':' || block || ':' || (epochs + 1) || ':17'), 1, 15))::BIGINT AS own_block,
+                    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || (epochs + 1) || ':17'), 1, 15))::BIGINT AS own_place
+                FROM placed
+            ) AS placed LEFT JOIN cuts ON placed.s = cuts.s LEFT JOIN lasts ON placed.s = lasts.s
+        ), copies AS (SELECT *, unnest(range(1, copies + 1)) AS epoch FROM decided)
+        SELECT doc_id, source, n::BIGINT AS n_tokens, round(weight, 6) AS weight, epoch, block,
+            lpad((('0x' || substr(md5(s || ':' || block || ':' || epoch || ':17'), 1, 15))::BIGINT)::VARCHAR, 19, '0') || '-' ||
+            lpad((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || epoch || ':17'), 1, 15))::BIGINT)::VARCHAR, 19, '0') AS place
+        FROM copies
+    """,
 }
