@@ -423,3 +423,67 @@ def _ranked_sparse(entries: DataFrame, queries: DataFrame, limit: int) -> DataFr
     SELECT query_id, entry_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) - 1)::INT AS rank FROM s) WHERE rank < 20""")
 def _(entries, queries):
     return rt.fts_search(queries, entries, 20)
+
+
+@_retrieval("r4_sparse_search", rf"""{_SPARSE_SQL}
+    SELECT query_id, entry_id, score, rank::INT AS rank FROM sparse WHERE rank < 10""")
+def _(entries, queries):
+    return _ranked_sparse(entries, queries, 10).select("query_id", "entry_id", F.round("score", 6).alias("score"), "rank")
+
+
+_DENSE_SQL = """
+    dense AS (SELECT query_id, entry_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entry_id) - 1 AS rank FROM (
+        SELECT b.item_id AS query_id, e.vec_id AS entry_id, round(list_cosine_similarity(v.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s
+        FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id, embeddings e))"""
+
+_FUSED_SQL = f"""{_SPARSE_SQL}, {_DENSE_SQL},
+    fused AS (SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) - 1 AS rank FROM (
+        SELECT query_id, entry_id, round(sum(1 / (2.0 + rank)), 9) AS score FROM (
+            SELECT query_id, entry_id, rank FROM sparse WHERE rank < 30 UNION ALL SELECT query_id, entry_id, rank FROM dense WHERE rank < 30) GROUP BY 1, 2)),
+    final AS (SELECT query_id, entry_id, project, source_type, title, occurred_at, doc_status, rank AS place,
+        CASE WHEN source_type = 'doc' AND doc_status = 'archived' THEN score * 0.6 ELSE score END AS score
+        FROM fused JOIN entries ON id = entry_id WHERE rank < 40),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, entry_id) - 1 AS rank FROM final)"""
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Keyword and dense hits of the benchmark texts (dense by the vector of the same number), fused."""
+    entries = spark_table(spark, sf_dir, "entries")
+    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("entry_id"), "embedding")
+    asked = queries.select("query_id").join(vectors, F.col("query_id") == F.col("entry_id")).select("query_id", "embedding")
+    dense = rt.dense_search(asked, vectors, 30).withColumn("seq", F.lit(0))
+    return rt.fuse([_ranked_sparse(entries, queries, 30), dense], 40), entries
+
+
+def r5_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir)[0].select("query_id", "entry_id", F.round("score", 6).alias("score"), "rank")
+
+
+def r9_finalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, entries = _fused(spark, sf_dir)
+    out = rt.finalise(rt.hydrate(hits, entries), AS_OF, 20)
+    return out.select("query_id", "entry_id", "source_type", "status", F.round("score", 6).alias("score"), "rank")
+
+
+def r12_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, entries = _fused(spark, sf_dir)
+    out = rt.rerank(rt.finalise(rt.hydrate(hits, entries), AS_OF, 20), AS_OF, 8)
+    return out.select("query_id", "entry_id", "source_type", "place", F.round("s", 6).alias("s"))
+
+
+_WEIGHT_SQL = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rt.SOURCE_WEIGHTS.items()) + " ELSE 1 END"
+QUERIES |= {"r5_fusion": r5_fusion, "r9_finalised": r9_finalised, "r12_rerank": r12_rerank}
+ORACLE_SQL |= {
+    "r5_fusion": f"{ctes('entries')},\n{_FUSED_SQL} SELECT query_id, entry_id, round(score, 6) AS score, rank::INT AS rank FROM fused WHERE rank < 40",
+    "r9_finalised": f"""{ctes('entries')},\n{_FUSED_SQL} SELECT query_id, entry_id, source_type, round(score, 6) AS score, rank::INT AS rank,
+        CASE WHEN source_type = 'doc' AND doc_status = 'archived' THEN 'archived' END AS status FROM kept WHERE rank < 20""",
+    "r12_rerank": f"""{ctes('entries')},\n{_FUSED_SQL},
+        scored AS (SELECT *, round(score * {_WEIGHT_SQL} * CASE WHEN occurred_at IS NULL THEN 1
+            ELSE 1 + 0.12 * exp(-greatest((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(occurred_at)) / 86400000.0, 0) / 180.0) END, 9) AS s FROM kept WHERE rank < 20),
+        once AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, project, source_type, title, occurred_at ORDER BY s DESC, rank) = 1),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS pos, CASE WHEN source_type = 'transcript' AND
+            sum((source_type = 'transcript')::INT) OVER (PARTITION BY query_id ORDER BY s DESC, rank ROWS UNBOUNDED PRECEDING) > 4 THEN 1 ELSE 0 END AS over_cap FROM once)
+        SELECT query_id, entry_id, source_type, p::INT AS place, round(s, 6) AS s FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over_cap, pos) AS p FROM placed) WHERE p <= 8""",
+}
