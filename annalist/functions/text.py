@@ -196,17 +196,17 @@ def fts_query(text: Column) -> Column:
 
 # fixed values: question classes by their first matching pattern
 QUESTION_CLASSES = (
-    ("temporal", r"(?i)\b(when|since|until|before|after|last (week|month|year)|yesterday|today|\d{4}-\d{2}-\d{2})\b"),
-    ("incident", r"(?i)\b(error|fail(ed|ure|s|ing)?|crash(ed|es)?|broke(n)?|bug|outage|incident|regress(ed|ion)?|timeout)\b"),
-    ("intent", r"(?i)\b(why|reason|rationale|decid(e|ed)|chose|trade-?offs?)\b"),
-    ("procedural", r"(?i)\b(how (do|to|can|should)|steps?|procedure|configure|install|set ?up|run)\b"),
+    ("temporal", r"\b(20\d\d-\d\d-\d\d|yesterday|last (week|month)|on july|what happened on)\b"),
+    ("incident", r"\b(root cause|crash|failed|failure|spike|incident|bug|broke|starv)"),
+    ("intent", r"\b(why|rationale|deliberate|instead of|decided)\b"),
+    ("procedural", r"\b(how (to|do|should)|procedure|safely|steps)\b"),
 )
 
 
 def question_class(text: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(QUESTION_CLASSES):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+        out = F.when(F.lower(text).rlike(pattern), F.lit(name)).otherwise(out)
     return F.coalesce(out, F.lit("definitional"))
 
 
