@@ -5,10 +5,12 @@ hashes to a bucket key (candidates); of every minimum only the low `BITS` bits a
 whose matching bits the similarity is estimated with the chance of a collision taken out. Links are confirmed on full
 shingle sets.
 
-Documents with the same shingle set are one class. Buckets never expand into all pairs: first every member is checked
-against its buckets' smallest member (a linear number of pairs, one confirmation a member), which ties a group of
-near-copies together; afterwards only buckets whose members still lie in different components are looked at, and there
-only pairs across components whose estimate is within reach of the threshold.
+Documents with the same shingle set are one class. Buckets never expand into all pairs: first every member is compared
+with LEADERS members of each of its buckets (a linear number of pairs) and confirmed against the TRIED likeliest, which
+ties a group of near-copies together; afterwards only buckets whose members still lie in different components are looked
+at. There the members outside the largest component and all members are cut into blocks of bounded size, and each pair of blocks
+tests its pairs across components whose estimate is within reach of the threshold, giving back no more links than join
+what was apart.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from annalist.llm import wordhash
 from annalist.llm.components import connected_components
@@ -28,6 +32,10 @@ from annalist.llm.shared import settle
 BANDS, ROWS, BITS = 24, 5, 2
 #: A pair is confirmed on full sets when its estimate is at most so many standard deviations below the threshold.
 REACH = 5.0
+#: Members of a bucket that all others are compared with first, and how many of those a member is confirmed against.
+LEADERS, TRIED = 4, 2
+#: A block of a bucket has about so many members, and shingles, at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
 
 _HASHES = BANDS * ROWS
 _MULTIPLIERS = wordhash.mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -167,20 +175,75 @@ def least_estimate(threshold: float) -> float:
     return threshold - REACH * (p * (1 - p) / _HASHES) ** 0.5 / (1 - chance)
 
 
-class _Confirmer:
-    """Confirms candidate pairs of class representatives on full sets, read from the texts of just those documents."""
+def _shingle_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(rep, hashes) of the classes in `needed(rep)`, read from the texts of just those documents."""
+    needed = needed.join(classes.select("rep", "set_digest"), "rep")
+    texts = needed.join(docs, needed["rep"] == docs["doc_id"]).select("rep", "set_digest", "text")
+    return settle(texts.mapInArrow(_set_reader(width), "rep long, hashes binary").dropDuplicates(["rep"]), "shingle-sets")
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(self.classes.select("rep", "set_digest"), "rep")
-        texts = needed.join(self.docs, needed["rep"] == self.docs["doc_id"]).select("rep", "set_digest", "text")
-        sets = settle(texts.mapInArrow(_set_reader(self.width), "rep long, hashes binary").dropDuplicates(["rep"]), "shingle-sets")
-        full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(
-            sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b"
-        )
-        return settle(full.select("a", "b", "x", "y").mapInArrow(_confirmer(self.percent), "a long, b long"), "links")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of `pairs(a, b)`, those that are links on full sets."""
+    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(
+        sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b"
+    )
+    return settle(full.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long"), "links")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of incidence matrices over hashes two sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    owner, column = owner[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    step = 16384
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        low, high = np.searchsorted(column, (at, at + step))
+        part = np.zeros((len(sets), step), dtype=np.float32)
+        part[owner[low:high], column[low:high] - at] = 1
+        total += part @ part.T
+    return np.rint(total).astype(np.int64)
+
+
+def _block_linker(percent: int, near: float):
+    """Members of two blocks of a bucket → links across components, no more than join what was apart."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, part, n = (rows[c].to_numpy() for c in ("left", "part", "n"))
+        sig = np.stack(rows["sig"].to_list()).view(np.uint64)
+        unequal = np.zeros((len(rows), len(rows)), dtype=np.int64)
+        for k in range(sig.shape[1]):
+            x = sig[:, None, k] ^ sig[None, :, k]
+            unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(int("01" * 32, 2)))
+        chance = 1 / (1 << BITS)
+        open_ = (1 - unequal / _HASHES - chance) / (1 - chance) >= near
+        open_ &= 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
+        open_ &= (part[:, None] != part) & left[:, None] & ~left
+        use = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
+        found: tuple[list[int], list[int]] = ([], [])
+        if len(use):
+            rep, part, n = rows["rep"].to_numpy()[use], part[use], n[use]
+            both = shared_counts([np.frombuffer(x, dtype=np.uint64) for x in rows["hashes"].iloc[use]])
+            hit = open_[np.ix_(use, use)] & (100 * both >= percent * (n[:, None] + n - both))
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    x = up
+                return x
+
+            for x, y in np.argwhere(hit):
+                p, q = root(part[x]), root(part[y])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found[0].append(int(rep[x]))
+                    found[1].append(int(rep[y]))
+        return pd.DataFrame({"a": np.array(found[0], dtype=np.int64), "b": np.array(found[1], dtype=np.int64)})
+
+    return run
 
 
 def near_duplicates(
@@ -212,41 +275,55 @@ def near_duplicates(
 
 def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     near = least_estimate(percent / 100)
-    member = classes.select(F.explode("bands").alias("key"), "rep")
-    leaders = member.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader")
-    met = settle(member.join(leaders, "key"), "buckets")
     facts = classes.select("rep", "n", "sig")
-    met = settle(met.join(facts, "rep"), "bucket-members")
-
-    def within(pairs: DataFrame) -> DataFrame:
-        """Both sizes and the packed signatures leave the threshold possible."""
-        sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-        return pairs.where(sizes & (estimate("sig", "other") >= near))
+    member = classes.select(F.explode("bands").alias("key"), "rep")
+    several = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    met = settle(member.join(several, "key"), "buckets")
 
+    least = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep")))["rep"] for k in range(LEADERS)]
+    leaders = met.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("leaders"))
+    stars = met.join(leaders, "key").select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
+    stars = stars.select(F.greatest("rep", "leader").alias("rep"), F.least("rep", "leader").alias("leader")).distinct()
     leader_facts = facts.select(F.col("rep").alias("leader"), F.col("n").alias("m"), F.col("sig").alias("other"))
-    stars = within(met.where("rep <> leader").dropDuplicates(["rep", "leader"]).join(leader_facts, "leader"))
-    best = stars.groupBy("rep").agg(F.max_by("leader", F.struct(estimate("sig", "other"), -F.col("leader"))).alias("b"))
-    confirm = _Confirmer(docs, classes, width, percent)
-    tried = settle(best.select(F.col("rep").alias("a"), "b"), "tried")
-    links = confirm(tried)
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    alike = stars.join(facts, "rep").join(leader_facts, "leader").where(sizes).select("rep", "leader", estimate("sig", "other").alias("guess"))
+    alike = settle(alike.where(F.col("guess") >= near), "candidates")
+    both = alike.union(alike.select(F.col("leader"), F.col("rep"), "guess"))
+    order = Window.partitionBy("rep").orderBy(F.desc("guess"), "leader")
+    best = both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRIED)
+    tried = settle(best.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), "tried")
+    needed = tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    links = _confirm(tried, _shingle_sets(docs, classes, needed, width), percent)
 
     parts = connected_components(links)
-    placed = settle(
-        met.join(parts, met["rep"] == parts["node"], "left").select("key", "rep", "n", "sig", F.coalesce("component", "rep").alias("part")), "placed"
+    placed = met.join(parts, met["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    placed = settle(placed.join(facts, "rep"), "placed")
+    shares = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES)).cast("int")
+    buckets = shares.groupBy("key").agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.max(F.struct("rows", "part", "shingles")).alias("main"),
+        F.sum("rows").alias("rows"),
+        F.sum("shingles").alias("shingles"),
     )
-    shares = placed.groupBy("key", "part").count().groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("count", "part")).alias("main")
+    buckets = buckets.where("parts > 1").select(
+        "key",
+        F.col("main.part").alias("main"),
+        blocks(F.col("rows") - F.col("main.rows"), F.col("shingles") - F.col("main.shingles")).alias("lefts"),
+        blocks(F.col("rows"), F.col("shingles")).alias("rights"),
     )
-    mixed = settle(placed.join(shares.where("parts > 1").select("key", "main"), "key"), "mixed")
-    rest = mixed.where("part <> main").select("key", "rep", "n", "sig", "part")
-    every = mixed.select("key", F.col("rep").alias("rep2"), F.col("n").alias("m"), F.col("sig").alias("other"), F.col("part").alias("part2"))
-    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    across = rest.join(every, (rest["key"] == every["key"]) & (F.col("part") != F.col("part2")) & sizes & (estimate("sig", "other") >= near))
-    across = across.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
-    across = settle(across.join(tried, ["a", "b"], "left_anti"), "across")
-    if across.isEmpty():
+    mixed = settle(placed.join(buckets, "key"), "mixed")
+    if mixed.isEmpty():
         return links
-    return links.union(confirm(across))
+    sets = _shingle_sets(docs, classes, mixed.select("rep").distinct(), width)
+    block = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    columns = ["key", "i", "j", "left", "rep", "n", "sig", "part"]
+    apart = mixed.where("part <> main").withColumn("i", block("lefts")).withColumn("j", every("rights")).withColumn("left", F.lit(True))
+    whole = mixed.withColumn("j", block("rights")).withColumn("i", every("lefts")).withColumn("left", F.lit(False))
+    dealt = apart.select(*columns).union(whole.select(*columns)).join(sets, "rep")
+    across = dealt.groupBy("key", "i", "j").applyInPandas(_block_linker(percent, near), "a long, b long")
+    return links.union(settle(across, "links"))
 
 
 def _spread(sketch: DataFrame, named: DataFrame) -> DataFrame:
