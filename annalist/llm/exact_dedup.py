@@ -61,11 +61,11 @@ class DigestIndex:
     def keep(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """Ingest a batch and return its rows that stay, one a text, with all their columns."""
         decided = self.ingest(docs, id_column, text_column).where("kept")
-        stay = decided.groupBy(F.col("text_sha256").alias("_digest"), F.col("keep_id").alias("_id")).agg(F.count(F.lit(1)).alias("_times"))
-        rows = docs.withColumn("_digest", F.sha2(text_or_empty(text_column), 256))
-        met = rows.join(stay.withColumnRenamed("_digest", "_d"), (F.col("_digest") == F.col("_d")) & F.col(id_column).cast("long").eqNullSafe(F.col("_id")))
-        once = met.where("_times = 1")
-        more = met.where("_times > 1").dropDuplicates(["_digest"])  # rows that repeat an id and its text
+        stay = decided.groupBy(F.col("text_sha256").alias("_stay_digest"), F.col("keep_id").alias("_stay_id")).agg(F.count(F.lit(1)).alias("_stay_times"))
+        same = (F.sha2(text_or_empty(text_column), 256) == F.col("_stay_digest")) & F.col(id_column).cast("long").eqNullSafe(F.col("_stay_id"))
+        met = docs.join(stay, same)
+        once = met.where("_stay_times = 1")
+        more = met.where("_stay_times > 1").dropDuplicates(["_stay_digest"])  # rows that repeat an id and its text
         return once.union(more).select(*docs.columns)
 
     def _spread(self, digests: DataFrame, decided: DataFrame) -> DataFrame:
