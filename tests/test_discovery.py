@@ -5,7 +5,7 @@ from annalist.sources import discovery as di
 
 
 def test_discovery(spark, tmp_path):
-    for name in ("Deep/journal/changelog.log", "Deep/journal/changelog.md", "Deep/journal/notes.md", "Deep/journal/components/pool.log", "Deep/Lycos/journal/backlog.log", "Deep/README.md",
+    for name in ("Deep/journal/changelog.log", "Deep/journal/changelog.md", "Deep/journal/notes.md", "Deep/journal/components/pool.log", "Deep/Harbor/journal/backlog.log", "Deep/README.md",
                  "Deep/docs/a/old/x.md", "Deep/docs/b.md", "Deep/src/no.md", "node_modules/journal/changelog.log", "Plain/x.txt"):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -14,11 +14,11 @@ def test_discovery(spark, tmp_path):
     assert files.count() == 11 and files.first()["size"] == 1
     git = spark.createDataFrame([("Code/.git/HEAD", 0, 1)], "path string, mtime_ms long, size long")
     got = {r.slug: (r.root, r.has_journal) for r in di.projects(files.union(git)).collect()}
-    assert got == {"deep": ("Deep", True), "deep-lycos": ("Deep/Lycos", True), "code": ("Code", False)}
+    assert got == {"deep": ("Deep", True), "deep-harbor": ("Deep/Harbor", True), "code": ("Code", False)}
     kinds = {r.path: (r.source_type, r.component, r.root) for r in di.journals(files).where("root LIKE 'Deep%'").collect()}
     assert kinds == {
         "Deep/journal/changelog.log": ("changelog", None, "Deep"), "Deep/journal/notes.md": ("report", None, "Deep"), "Deep/journal/components/pool.log": ("component", "pool", "Deep"),
-        "Deep/Lycos/journal/backlog.log": ("backlog", None, "Deep/Lycos"),
+        "Deep/Harbor/journal/backlog.log": ("backlog", None, "Deep/Harbor"),
     }
     docs, dropped = di.documents(files.where("path LIKE 'Deep%'"), most=2)
     assert sorted((r.path, r.archived) for r in docs.collect()) == [("Deep/README.md", False), ("Deep/docs/a/old/x.md", True)] and dropped.first().dropped == 1

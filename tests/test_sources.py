@@ -96,9 +96,9 @@ def test_changed(spark):
 
 
 def test_folders_and_aliases(spark):
-    projects = spark.createDataFrame([("deep", "-w-Deep"), ("lycos", "-w-Deep-Lycos")], "slug string, encoded string")
-    folders = spark.createDataFrame([("-w-Deep-Lycos-src",), ("-w-Deep",), ("-w-Deeper",)], "dir string")
-    assert {r.dir: r.slug for r in rd.match_folder(folders, projects).collect()} == {"-w-Deep-Lycos-src": "lycos", "-w-Deep": "deep"}
-    ghosts = spark.createDataFrame([("users-x-deep-lycos",), ("notdeep",), ("users-deep",)], "slug string")
-    known = spark.createDataFrame([("deep",), ("lycos",), ("deep-lycos",)], "slug string")
-    assert {r.ghost: r.alias_of for r in rd.resolve_alias(ghosts, known).collect()} == {"users-x-deep-lycos": "deep-lycos", "users-deep": "deep"}
+    projects = spark.createDataFrame([("deep", "-w-Deep"), ("harbor", "-w-Deep-Harbor")], "slug string, encoded string")
+    folders = spark.createDataFrame([("-w-Deep-Harbor-src",), ("-w-Deep",), ("-w-Deeper",)], "dir string")
+    assert {r.dir: r.slug for r in rd.match_folder(folders, projects).collect()} == {"-w-Deep-Harbor-src": "harbor", "-w-Deep": "deep"}
+    ghosts = spark.createDataFrame([("users-x-deep-harbor",), ("notdeep",), ("users-deep",)], "slug string")
+    known = spark.createDataFrame([("deep",), ("harbor",), ("deep-harbor",)], "slug string")
+    assert {r.ghost: r.alias_of for r in rd.resolve_alias(ghosts, known).collect()} == {"users-x-deep-harbor": "deep-harbor", "users-deep": "deep"}
