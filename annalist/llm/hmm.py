@@ -8,7 +8,7 @@ Training: every task turns the expected counts of its texts into rows, Spark sum
 are whole numbers of 1/UNIT, so sums don't depend on order. Training sequences are stretches of up to STRETCH tokens;
 scoring runs the scaled forward recursion over each text whole, which gives its exact likelihood.
 
-Counts of the COMMON most frequent words travel with the tasks (a fixed bound); tokens of all other words are joined with
+Counts of at most COMMON most frequent words travel with the tasks (a fixed bound); tokens of all other words are joined with
 the vocabulary table by word.
 """
 
@@ -29,7 +29,7 @@ from annalist.llm.shared import settle
 
 STATES, ROUNDS, STRETCH = 12, 6, 256
 OWN, SUFFIXES, SUFFIX_BYTES = 1500, 512, 3
-COMMON = 1 << 18
+COMMON = 1 << 17
 CLASSES = 1 + OWN + SUFFIXES  # class 0 is the end
 #: Classes that start the training: the most frequent words, and the suffix classes folded.
 COARSE_OWN, COARSE_SUFFIXES, NEAR = 191, 64, 4
@@ -82,6 +82,23 @@ class Lexicon:
         return np.log10((1 - self.unseen) / np.maximum(self.class_tokens, 1))
 
 
+def _most_common(vocabulary: DataFrame) -> list[tuple[bytes, int]]:
+    """At most COMMON words, more frequent than all others, by falling count. A histogram of counts gives the least count
+    to take, so no task or driver sorts the vocabulary."""
+    c = F.col("c")
+    level = F.when(c < 4096, c).otherwise(4096 + F.floor(512 * F.log2(c / 4096))).cast("int")
+    least, total = None, 0
+    for row in sorted(vocabulary.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        total += row["count"]
+        if total > COMMON:
+            break
+        least = row["level"]
+    if least is None:
+        return []
+    found = vocabulary.where(level >= least).select("word", "c").toArrow()
+    return sorted(zip(found.column("word").to_pylist(), found.column("c").to_pylist(), strict=True), key=lambda w: (-w[1], w[0]))
+
+
 def build_lexicon(texts: DataFrame) -> tuple[Lexicon, DataFrame]:
     """From a one-column table of training texts: the lexicon, and the whole vocabulary (word, c)."""
     vocabulary = settle(texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
@@ -90,22 +107,22 @@ def build_lexicon(texts: DataFrame) -> tuple[Lexicon, DataFrame]:
     by_suffix = vocabulary.groupBy(short.alias("k")).agg(
         F.sum("c").alias("tokens"), F.count_if(F.col("c") == 1).alias("once"), F.count(F.lit(1)).alias("words")
     ).collect()  # fmt: skip  # SUFFIXES rows
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(COMMON).collect()
+    top = _most_common(vocabulary)
     ends = texts.count()
     tokens, once = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
     for row in by_suffix:
         tokens[1 + OWN + row["k"]], once[1 + OWN + row["k"]] = row["tokens"], row["once"]
-    for place, row in enumerate(top[:OWN]):
-        k = 1 + OWN + zlib.crc32(bytes(row["word"])[-SUFFIX_BYTES:]) % SUFFIXES
-        tokens[k] -= row["c"]
-        once[k] -= row["c"] == 1
-        tokens[1 + place] = row["c"]
+    for place, (word, c) in enumerate(top[:OWN]):
+        k = 1 + OWN + zlib.crc32(word[-SUFFIX_BYTES:]) % SUFFIXES
+        tokens[k] -= c
+        once[k] -= c == 1
+        tokens[1 + place] = c
     tokens[0] = ends
     unseen = np.where(np.arange(CLASSES) > OWN, (once + 0.5) / (tokens + 1), 0.0)
     unseen = np.where(tokens > 0, np.minimum(unseen, 0.99), np.where(np.arange(CLASSES) > OWN, 1.0 - 1e-9, 0.0))
-    words = {bytes(r["word"]): i for i, r in enumerate(top)}
+    words = {word: i for i, (word, _) in enumerate(top)}
     distinct = sum(r["words"] for r in by_suffix) + (ends > 0)
-    return Lexicon(words, np.array([r["c"] for r in top], dtype=np.int64), int(tokens.sum()), distinct, ends, tokens, unseen), vocabulary
+    return Lexicon(words, np.array([c for _, c in top], dtype=np.int64), int(tokens.sum()), distinct, ends, tokens, unseen), vocabulary
 
 
 _ENCODED = (
