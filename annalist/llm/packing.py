@@ -9,14 +9,13 @@ enough to ship to every task. Pieces then find their places by rank within their
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,66 +26,102 @@ from annalist.llm.shared import settle
 CAPACITY = 2048
 END_ID = 0
 #: Word ids remembered by a task; when full the memory starts anew.
-WORDS_HELD = 400_000
+WORDS_HELD = 600_000
+TEXTS_AT_ONCE = 512
 
 
 class WordEncoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
-    The vocabulary merges within words only, so a text of plain Latin letters is the concatenation of its words' ids,
-    each asked of the tokenizer once. Texts with any other character, or with the strings of special tokens, or not in
-    NFC, go to the tokenizer whole.
+    The vocabulary never merges across white space, and normalises nothing across it either, so a text's ids are those of
+    its words in a row. A word is asked for once as long as it is remembered. Words of plain Latin letters (with
+    punctuation after them, which is a token run of its own) are asked for many at a time as one text, whose ids part
+    where a token ends a word; all other words one by one. Texts with strings of special tokens go to the tokenizer whole.
     """
 
     _SPECIAL = "<|"
-    _PLAIN = regex.compile(r"[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-ÿ]*+")
-    _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+    _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = _Known(self._ask)
-
-    def _ask(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if self._PLAIN.fullmatch(text) and self._SPECIAL not in text and unicodedata.is_normalized("NFC", text):
-            if len(self.known) > WORDS_HELD:
-                self.known.clear()
-            return b"".join(map(self.known.__getitem__, self._WORDS.findall(text.lower())))
-        return self._ask(text)
-
-
-class _Known(dict):
-    def __init__(self, ask):
-        super().__init__()
-        self._of = ask
-
-    def __missing__(self, word: str) -> bytes:
-        got = self[word] = self._of(word)
-        return got
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ask(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _ask_letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of plain letters."""
+        if not words:
+            return {}
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        edges = np.flatnonzero(self.ends[ids]) + 1
+        if len(edges) != len(words):
+            return {w: self._ask(w) for w in words}
+        data, at = ids.tobytes(), [0, *(4 * edges).tolist()]
+        return {w: data[at[i] : at[i + 1]] for i, w in enumerate(words)}
+
+    def learn(self, words: set[bytes]) -> None:
+        split, letters = [], set()
+        for word in words:
+            text = word.decode()
+            parts = self._PLAIN.fullmatch(text)
+            if parts is None:
+                self.known[word] = self._ask(text)
+            else:
+                split.append((word, parts[1], parts[2]))
+                letters.add(parts[1])
+        ids = self._ask_letters(list(letters))
+        marks = {m: self._ask(m) if m else b"" for m in {m for _, _, m in split}}
+        for word, body, mark in split:
+            self.known[word] = ids[body] + marks[mark]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        lists = [None if self._SPECIAL in t else t.encode().lower().split() for t in texts]
+        new = set().union(*(x for x in lists if x)).difference(self.known)
+        if len(self.known) + len(new) > WORDS_HELD and self.known:
+            self.known.clear()
+            new = set().union(*(x for x in lists if x))
+        self.learn(new)
+        find = self.known.__getitem__
+        return [self._ask(t) if x is None else b"".join(map(find, x)) for t, x in zip(texts, lists, strict=True)]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this process: a worker that runs several tasks loads the vocabulary once."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def _cutter(path: str, capacity: int, keep_ids: bool):
     """(doc_id, text) → the pieces of each document, with the task's number and the piece's rank in it for its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, seen = WordEncoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        encoder, task, seen = encoder_of(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([END_ID], dtype="<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"] + ["ids"] * keep_ids
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    row = [doc, piece, at // 4, n, zlib.crc32(part), task, int(seen[n])] + [part] * keep_ids
-                    seen[n] += 1
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
+            docs = batch.column(0).to_pylist()
+            for first in range(0, len(docs), TEXTS_AT_ONCE):
+                texts = [x.as_py() or "" for x in batch.column(1)[first : first + TEXTS_AT_ONCE]]
+                for doc, ids in zip(docs[first : first + TEXTS_AT_ONCE], encoder.encode(texts), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        n = len(part) // 4
+                        row = [doc, piece, at // 4, n, zlib.crc32(part), task, int(seen[n])] + [part] * keep_ids
+                        seen[n] += 1
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
