@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import random
 
 import pytest
@@ -126,3 +127,14 @@ def test_extract(spark):
     assert all(r.n_chars == len(r.text) for r in got) and next(r.n_chars for r in got if r.page_id == 6) == 199_999
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert unique_runs([["a b c"], ["a b c"]], 3) == [[""], [""]]
+
+
+def test_large_host(spark):
+    """What a host repeats is found whatever its size: 6 pages, 420,000 tokens, a passage for every three of the pages."""
+    rng = random.Random(4)
+    trios = {trio: " ".join(f"t{n}w{k}" for k in range(12)) for n, trio in enumerate(itertools.combinations(range(6), 3))}
+    own = [[" ".join(f"p{p}x{rng.randrange(10**6)}" for _ in range(1000)) for _ in range(70)] for p in range(6)]
+    pages = [[b for k in range(70) for b in (own[p][k], *[t for n, (trio, t) in enumerate(trios.items()) if n == k and p in trio])] for p in range(6)]
+    rows = [(p, f"http://large.org/{p}", "".join(f"<p>{b}</p>" for b in page)) for p, page in enumerate(pages)]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {p: "\n".join(own[p]) for p in range(6)}
