@@ -4,9 +4,9 @@ Each pass concatenates the signs of its own random projections into a key and or
 vector is compared, in double precision, with a bounded window of its successors. Verified pairs of all passes are
 united into components.
 
-A window cannot hold a dense group, so it only has to connect it: the exact number of links is then counted inside
-components, where every linked pair lies, by block pairs of bounded size. Exact copies of a vector are one class with a
-multiplicity throughout.
+Windows miss pairs, and how many depends on the vectors, so they only unite what they find cheaply. All pairs of a label
+are then compared, by block pairs of bounded size: that counts the links and joins components which the windows left
+apart. The work grows with the square of a label. Exact copies of a vector are one class with a multiplicity throughout.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from annalist.llm.components import connected_components
 from annalist.llm.shared import settle
 
-PASSES, WINDOW, KEY_BITS, BLOCK, SEED = 24, 64, 48, 512, 20240131
+PASSES, WINDOW, KEY_BITS, SEED = 24, 64, 48, 20240131
+#: Numbers in the vectors of one block, about, and rows compared at once.
+BLOCK_VALUES, STRIP = 1 << 19, 512
 
 
 def _planes(dimension: int, passes: int) -> np.ndarray:
@@ -99,19 +101,43 @@ def _scanner(threshold: float, window: int):
 
 
 def _counter(threshold: float):
-    """One block pair of a component: how many rows (by multiplicity) each representative is linked with."""
+    """One block pair of a label: (rep, n), with how many rows (by multiplicity) each representative is linked, and
+    (part, n null, other) for links between components, no more than join what was apart."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        x, mult, block = _unit(rows["embedding"]), rows["mult"].to_numpy(), rows["block"].to_numpy()
+        i, j = key[2], key[3]
+        x, rep, mult, part, block = _unit(rows["embedding"]), *(rows[c].to_numpy() for c in ("rep", "mult", "part", "block"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        hit = (x[left] @ x[right].T) >= threshold
-        if i == j:
-            np.fill_diagonal(hit, False)
-            counts = hit @ mult[right]
-            return pd.DataFrame({"rep": rows["rep"].to_numpy()[left], "n": counts})
-        both = np.concatenate([hit @ mult[right], hit.T @ mult[left]])
-        return pd.DataFrame({"rep": rows["rep"].to_numpy()[np.concatenate([left, right])], "n": both})
+        n = np.zeros(len(rows), dtype=np.int64)
+        parent: dict[int, int] = {}
+        joined: tuple[list[int], list[int]] = ([], [])
+
+        def root(p: int) -> int:
+            while (up := parent.get(p, p)) != p:
+                parent[p] = p = parent.get(up, up)
+            return p
+
+        y = x[right]
+        for at in range(0, len(left), STRIP):
+            some = left[at : at + STRIP]
+            hit = (x[some] @ y.T) >= threshold
+            if i == j:
+                hit[np.arange(len(some)), at + np.arange(len(some))] = False
+            n[some] += hit @ mult[right]
+            if i != j:
+                n[right] += hit.T @ mult[some]
+            a, b = np.nonzero(hit)
+            a, b = part[some[a]], part[right[b]]
+            for p, q in np.unique(np.stack([a, b], axis=1)[a != b], axis=0).tolist():
+                p, q = root(p), root(q)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    joined[0].append(p)
+                    joined[1].append(q)
+        linked = n > 0
+        counts = pd.DataFrame({"rep": rep[linked], "n": pd.array(n[linked], "Int64"), "other": pd.array([None] * int(linked.sum()), "Int64")})
+        links = pd.DataFrame({"rep": np.array(joined[0], dtype=np.int64), "n": pd.array([None] * len(joined[0]), "Int64"), "other": pd.array(joined[1], "Int64")})
+        return pd.concat([counts, links])
 
     return run
 
@@ -161,14 +187,20 @@ def near_duplicate_vectors(
     links = settle(ordered.mapInArrow(_scanner(threshold, window), "a long, b long"), "vector-links")
     component = connected_components(links)
 
-    placed = settle(component.join(reps, component["node"] == reps["rep"]).select("component", "rep", "min_id", "mult", "embedding"), "vector-parts")
-    sizes = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("min_id").alias("component_id"))
-    blocked = placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = reps.join(component, reps["rep"] == component["node"], "left").withColumn("dim", F.size("embedding"))
+    placed = settle(placed.select("rep", "min_id", "mult", "label", "dim", "embedding", F.coalesce("component", "rep").alias("part")), "vector-parts")
+    sizes = placed.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) * F.col("dim") / F.lit(BLOCK_VALUES)).cast("int").alias("blocks"))
+    blocked = placed.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mult", "embedding"
+        "label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mult", "part", "embedding"
     )
-    counted = pairs.groupBy("component", "i", "j").applyInPandas(_counter(threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    linked = counted.join(blocked.select("rep", "component_id"), "rep")
+    met = settle(pairs.groupBy("label", "dim", "i", "j").applyInPandas(_counter(threshold), "rep long, n long, other long"), "vector-counts")
+    counted = met.where("n IS NOT NULL").groupBy("rep").agg(F.sum("n").alias("n"))
+    apart = met.where("n IS NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    merged = connected_components(apart).select(F.col("node").alias("part"), "component")
+    whole = placed.select("rep", "min_id", "part").join(merged, "part", "left").select("rep", "min_id", F.coalesce("component", "part").alias("component"))
+    named = whole.groupBy("component").agg(F.min("min_id").alias("component_id"))
+    linked = whole.join(named, "component").select("rep", "component_id").join(counted, "rep")
     facts = settle(
         reps.select("same", "rep", "mult", "min_id").join(linked, "rep", "left").select(
             "same", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "min_id").alias("component_id")

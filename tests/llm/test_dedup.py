@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from annalist.llm import minhash
+from annalist.llm import embedding_dedup, minhash
 from annalist.llm.components import connected_components
 from annalist.llm.embedding_dedup import near_duplicate_vectors
 from annalist.llm.exact_dedup import DigestIndex
@@ -148,3 +148,21 @@ def test_vectors(spark):
         degree[b] += 1
     assert {i: r.n_links for i, r in got.items()} == degree
     assert near_duplicate_vectors(frame.limit(0)).count() == 0
+
+
+def test_vectors_that_windows_miss(spark):
+    """Pairs in a label of spread-out vectors, far apart in the order of the only pass: every link is found nevertheless."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((1500, 32))
+    near = base[:300] + 0.35 * rng.standard_normal((300, 32))
+    x = np.concatenate([base, near])
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = np.triu(unit @ unit.T >= 0.93, 1)
+    expected, degree = groups(range(len(x)), np.argwhere(hit).tolist()), hit.sum(axis=0) + hit.sum(axis=1)
+    assert hit.sum() > 100
+    for values in (1 << 19, 1 << 13):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(embedding_dedup, "BLOCK_VALUES", values, raising=False)
+            got = near_duplicate_vectors(frame, passes=1, window=2).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (degree[i], expected[i]) for i in expected}
