@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +21,8 @@ from annalist.functions.text import age_months, chunk, fnv1a, recency_factor, te
 
 #: A batch of at most so many queries is broadcast to scan vectors; larger ones are scanned in slices of this size.
 FEW_QUERIES = 10_000
+#: Scores that a task holds at once.
+STRIP_SCORES = 4_000_000
 # fixed values: how much a source's word counts in an answer's context, and the shares of its window
 SOURCE_WEIGHTS = {"doc": 1.35, "component": 1.3, "changelog": 1.15, "report": 1.15, "backlog": 1.05, "commit": 1.0, "session": 0.95, "transcript": 0.8}
 EXPLANATORY = ("doc", "component", "changelog", "backlog", "report", "session")
@@ -98,28 +102,44 @@ def dense_search(queries: DataFrame, vectors: DataFrame, limit: int, exclude_sel
     Each task multiplies its vectors with the block of queries and keeps its own best, so at most `limit` rows per query leave a task.
     """
     asked = queries.select("query_id", "embedding").limit(FEW_QUERIES + 1).collect()
-    if len(asked) > FEW_QUERIES:
-        raise ValueError(f"more than {FEW_QUERIES} queries in a batch; search them in slices")
+    if len(asked) <= FEW_QUERIES:
+        return _dense_slice(asked, vectors, limit, exclude_self)
+    from annalist.llm.shared import settle  # only large batches need the other subpackage
+
+    # one slice of queries is on the driver at a time; its result is written before the next one is taken
+    del asked
+    every = settle(queries.select("query_id", "embedding"), "dense-queries")
+    parts = -(-every.count() // FEW_QUERIES)
+    rows = settle(every.repartition(parts), "dense-queries").toLocalIterator()
+    slices = []
+    while some := list(islice(rows, FEW_QUERIES)):
+        slices.append(settle(_dense_slice(some, vectors, limit, exclude_self).drop("rank"), "dense-slice"))
+    return _top(reduce(DataFrame.unionByName, slices), limit, "entry_id")
+
+
+def _dense_slice(asked: list[Row], vectors: DataFrame, limit: int, exclude_self: bool) -> DataFrame:
     ids = np.array([r["query_id"] for r in asked], dtype=np.int64)
     q = np.array([r["embedding"] for r in asked], dtype=np.float64).reshape(len(asked), -1)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
+    strip = max(1, STRIP_SCORES // max(1, len(ids)))
+
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        for rows in batches:
-            rows = rows[rows["embedding"].notna()]
-            if not len(rows) or not len(ids):
-                continue
-            x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            score = np.round((x @ q.T) / np.where(norm > 0, norm, 1)[:, None], 9)
-            own = rows["entry_id"].to_numpy()
-            if exclude_self:
-                score[own[:, None] == ids[None, :]] = -2.0
-            keep = np.argsort(-score, axis=0, kind="stable")[: limit + 8]
-            found = pd.DataFrame({"query_id": np.tile(ids, len(keep)), "entry_id": own[keep].ravel(), "score": np.take_along_axis(score, keep, 0).ravel()})
-            held = found if held is None else pd.concat([held, found])
-            held = held.sort_values(["query_id", "score", "entry_id"], ascending=[True, False, True]).groupby("query_id").head(limit)
+        for batch in batches:
+            batch = batch[batch["embedding"].notna()].sort_values("entry_id")  # the smaller id comes first among equals
+            for at in range(0, len(batch) if len(ids) else 0, strip):
+                rows = batch.iloc[at : at + strip]
+                x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(x, axis=1)
+                score = np.round((x @ q.T) / np.where(norm > 0, norm, 1)[:, None], 9)
+                own = rows["entry_id"].to_numpy()
+                if exclude_self:
+                    score[own[:, None] == ids[None, :]] = -2.0
+                keep = np.argsort(-score, axis=0, kind="stable")[: limit + 8]
+                found = pd.DataFrame({"query_id": np.tile(ids, len(keep)), "entry_id": own[keep].ravel(), "score": np.take_along_axis(score, keep, 0).ravel()})
+                held = found if held is None else pd.concat([held, found])
+                held = held.sort_values(["query_id", "score", "entry_id"], ascending=[True, False, True]).groupby("query_id").head(limit)
         if held is not None:
             yield held[held["score"] >= -1.0] if exclude_self else held
 

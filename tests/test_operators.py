@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 
 from annalist.operators import adoption as ad
@@ -236,3 +237,17 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     (inbox / "b.log").write_text(line.format(3))
     assert run() == 3
     assert run(f"file://{tmp_path}/lost-checkpoint") == 3
+
+
+def test_dense_search_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 8))
+    x[30:50] = x[30]  # equals are ordered by id
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows[::-1], "entry_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 9)
+    expected = {(q, e, r) for q in range(60) for r, e in enumerate(sorted((e for e in range(60) if e != q), key=lambda e: (-score[q, e], e))[:4])}
+    monkeypatch.setattr(rt, "FEW_QUERIES", 25)
+    assert {(h.query_id, h.entry_id, h["rank"]) for h in rt.dense_search(queries, vectors, 4, exclude_self=True).collect()} == expected
