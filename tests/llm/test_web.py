@@ -138,3 +138,20 @@ def test_large_host(spark):
     rows = [(p, f"http://large.org/{p}", "".join(f"<p>{b}</p>" for b in page)) for p, page in enumerate(pages)]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert {r.page_id: r.text for r in got} == {p: "\n".join(own[p]) for p in range(6)}
+
+
+def test_open_text_keeps_phrases_and_copies(spark):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    menu, phrase, passage = "all our offers are on the front page", "on the other hand it has to be said that", prose(60)
+    own = [f"{prose(20)} {phrase} {prose(20)}" for _ in range(24)]
+    pages = [[menu, "Home", "About", "Contact us", text, f"{prose(3)} {passage}"] for text in own]
+    want = [[text, last.removesuffix(f" {passage}")] for text, (*_, last) in zip(own, pages, strict=True)]
+    copied, last = prose(80), prose(30)
+    pages += [[menu, copied, last], [menu, copied, last], [menu, copied, prose(30)]]  # two exact copies and a near one
+    want += [[copied, last], [copied, last], pages[-1][1:]]
+    rows = [(p, f"http://open.org/{p}", "".join(f"<p>{b}</p>" for b in page)) for p, page in enumerate(pages)]
+    rows += [(100 + p, f"http://two.org/{p}", f"<p>{copied}</p>") for p in range(2)] + [(102, "http://two.org/2", f"<p>{copied}</p><p>{last}</p>")]
+    want_of = {p: "\n".join(w) for p, w in enumerate(want)} | {100: copied, 101: copied, 102: last}
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == want_of
