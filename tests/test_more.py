@@ -152,3 +152,15 @@ def test_engine_lists(engine):
     with pytest.raises(ValueError):
         engine.project_components("nope")
     assert api.listed('["a","b"]') == api.listed("a, b") == ("a", "b") and api.listed("") == ()
+
+
+def test_token_counts_keep_literals(spark, tmp_path):
+    from annalist.functions import text as tx
+    from annalist.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "took 768ms in core.query.ts"), (2, "plain words, 768ms")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.token: (r.n, r["items"]) for r in QUERIES["c1_tokens"](spark, str(tmp_path)).collect()}
+    texts = spark.read.parquet(f"{tmp_path}/benchmark.parquet").select("item_id", tx.tokenize("text").alias("tokens")).collect()
+    every = [(t, r.item_id) for r in texts for t in r.tokens]
+    assert got == {t: (sum(x == t for x, _ in every), len({i for x, i in every if x == t})) for t, _ in every}
+    assert "768ms" in got and any("." in t for t in got)
