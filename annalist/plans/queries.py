@@ -375,7 +375,7 @@ _SPARSE_SQL = rf"""
 
 
 def _whole(entries: DataFrame) -> DataFrame:
-    """One point an entry: the test texts have no paragraphs to cut at."""
+    """One point an entry, as the SQL has it; the operator's own points are chunks (`rt.points`), which long texts differ by."""
     return entries.select(F.col("id").alias("entry_id"), F.lit(0).alias("seq"), F.concat("title", F.lit("\n\n"), "body").alias("chunk"))
 
 
