@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from annalist.llm import wordhash
 from annalist.llm.components import connected_components
-from annalist.llm.shared import settle
+from annalist.llm.shared import column, discard, settle, settle_counted
 
 BANDS, ROWS, BITS = 24, 5, 2
 #: A pair is confirmed on full sets when its estimate is at most so many standard deviations below the threshold.
@@ -40,15 +40,12 @@ BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
 _HASHES = BANDS * ROWS
 _MULTIPLIERS = wordhash.mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _LONGS = -(-_HASHES * BITS // 64)
-_SKETCH = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_shingles", T.LongType()),
-        T.StructField("set_digest", T.BinaryType()),
-        T.StructField("signature", T.ArrayType(T.LongType())),
-        T.StructField("bands", T.ArrayType(T.LongType())),
-    ]
-)
+_SKETCH = [
+    T.StructField("n_shingles", T.LongType()),
+    T.StructField("set_digest", T.BinaryType()),
+    T.StructField("signature", T.ArrayType(T.LongType())),
+    T.StructField("bands", T.ArrayType(T.LongType())),
+]
 
 
 def minima(hashes: np.ndarray, step: int = 2048) -> np.ndarray:
@@ -94,10 +91,12 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def _sketcher(width: int):
+    """(doc, id, text) → the same and what the text's set has."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, least = [], [], []
-            for hashes in _sets(batch.column(1), width):
+            for hashes in _sets(batch.column(2), width):
                 sizes.append(len(hashes))
                 digests.append(set_digest(hashes) or None)
                 least.append(minima(hashes))
@@ -112,25 +111,23 @@ def _sketcher(width: int):
                 return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[some].ravel()))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(packed), lists(bands)],
-                names=_SKETCH.names,
+                [*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(packed), lists(bands)],
+                names=[*batch.schema.names, *(f.name for f in _SKETCH)],
             )
 
     return sketch
 
 
 def _set_reader(width: int):
-    """(rep, set_digest, text) → (rep, the sorted set as bytes); rows whose text has another set (repeated ids) go."""
+    """(rep, text) → (rep, the sorted set as bytes)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ids, sets, held = [], [], 0
-            for rep, digest, hashes in zip(reps, digests, _sets(batch.column(2), width), strict=True):
-                if set_digest(hashes) == digest:
-                    ids.append(rep)
-                    sets.append(hashes.tobytes())
-                    held += len(sets[-1])
+            for rep, hashes in zip(batch.column(0).to_pylist(), _sets(batch.column(1), width), strict=True):
+                ids.append(rep)
+                sets.append(hashes.tobytes())
+                held += len(sets[-1])
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "hashes"])
                     ids, sets, held = [], [], 0
@@ -175,11 +172,10 @@ def least_estimate(threshold: float) -> float:
     return threshold - REACH * (p * (1 - p) / _HASHES) ** 0.5 / (1 - chance)
 
 
-def _shingle_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(rep, hashes) of the classes in `needed(rep)`, read from the texts of just those documents."""
-    needed = needed.join(classes.select("rep", "set_digest"), "rep")
-    texts = needed.join(docs, needed["rep"] == docs["doc_id"]).select("rep", "set_digest", "text")
-    return settle(texts.mapInArrow(_set_reader(width), "rep long, hashes binary").dropDuplicates(["rep"]), "shingle-sets")
+def _shingle_sets(rows: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """(rep, hashes) of the classes in `needed(rep)`, read from the texts of just those rows."""
+    texts = needed.join(rows.select(F.col("row").alias("rep"), "text"), "rep").select("rep", "text")
+    return settle(texts.mapInArrow(_set_reader(width), "rep long, hashes binary"), "shingle-sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +205,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_linker(percent: int, near: float):
-    """Members of two blocks of a bucket → links across components, no more than join what was apart."""
+    """Members of two blocks of a bucket → components that a link joins, each pair once in effect."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, part, n = (rows[c].to_numpy() for c in ("left", "part", "n"))
@@ -225,7 +221,7 @@ def _block_linker(percent: int, near: float):
         use = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
         found: tuple[list[int], list[int]] = ([], [])
         if len(use):
-            rep, part, n = rows["rep"].to_numpy()[use], part[use], n[use]
+            part, n = part[use], n[use]
             both = shared_counts([np.frombuffer(x, dtype=np.uint64) for x in rows["hashes"].iloc[use]])
             hit = open_[np.ix_(use, use)] & (100 * both >= percent * (n[:, None] + n - both))
             parent: dict[int, int] = {}
@@ -239,13 +235,44 @@ def _block_linker(percent: int, near: float):
                 p, q = root(part[x]), root(part[y])
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-                    found[0].append(int(rep[x]))
-                    found[1].append(int(rep[y]))
+                    found[0].append(int(part[x]))
+                    found[1].append(int(part[y]))
         return pd.DataFrame({"a": np.array(found[0], dtype=np.int64), "b": np.array(found[1], dtype=np.int64)})
 
     return run
 
 
+def near_duplicate_rows(docs: DataFrame, carried: list[str], id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
+    """→ (doc, id, text, n_shingles, row, component_id, kept) for each row of `docs`: `doc` is a struct of the `carried`
+    columns, `row` tells rows apart, the kept row of a component is the one least by id (null ids last) and then by `row`."""
+    base = docs.select(
+        F.struct(*(column(c) for c in carried)).alias("doc"), column(id_column).cast("long").alias("id"), column(text_column).cast("string").alias("text")
+    )
+    sketch = base.mapInArrow(_sketcher(width), T.StructType([*base.schema.fields, *_SKETCH]))
+    rows = settle(sketch.withColumn("row", F.monotonically_increasing_id()), "sketch")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
+    classes = settle(
+        rows.where("set_digest IS NOT NULL")
+        .groupBy("set_digest")
+        .agg(F.min("row").alias("rep"), first.alias("first"), F.first("n_shingles").alias("n"), F.first("signature").alias("sig"), F.first("bands").alias("bands")),
+        "classes",
+    )
+    parts, merged = _links(rows, classes, width, percent)
+    named = classes.select("set_digest", "rep", "first").join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+    if merged is not None:
+        named = named.drop("component").join(merged, F.col("part") == F.col("old"), "left").withColumn("part", F.coalesce("new", "part"))
+    named = settle(named.select("set_digest", "part", "first"), "parts")
+    least = named.groupBy("part").agg(F.min("first").alias("stays"))
+    named = named.join(least, "part").select("set_digest", "stays")
+    columns = ["doc", "id", "text", "n_shingles", "row"]
+    # joined on the digest; a class with many copies is split by AQE
+    met = rows.where("set_digest IS NOT NULL").join(named, "set_digest").select(
+        *columns, F.col("stays.id").alias("component_id"), (F.col("row") == F.col("stays.row")).alias("kept")
+    )
+    alone = rows.where("set_digest IS NULL").select(*columns, F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return met.union(alone)
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -253,27 +280,29 @@ def near_duplicates(
 
     Documents are linked when `100 * |A ∩ B| >= percent * |A ∪ B|` on their sets of `width`-word shingles (fewer words:
     the whole sequence is one shingle). Null and wordless texts have an empty set and are linked with nothing. The
-    smallest id reachable names the component; its row is kept. Ids that repeat with different texts stand for
-    separate documents of one id, all of one component. A row with a null id takes part; alone, it is kept and its
-    component_id is null. Shingles are told apart by 64-bit hashes.
+    smallest id reachable names the component; rows with that id and a set in it are kept. Each row is a document of its own, so an id that
+    repeats with different texts may lie in several components, and a row with a null id takes part; component_id is null where every id of a
+    component is. Columns besides the two are ignored. Shingles are told apart by 64-bit hashes.
     """
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sketch = settle(docs.mapInArrow(_sketcher(width), _SKETCH), "sketch")
-    classes = settle(
-        sketch.where("set_digest IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("set_digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("sig"), F.first("bands").alias("bands")),
-        "classes",
-    )
-    links = _links(docs, classes, width, percent)
-    parts = connected_components(links)
-    named = classes.select("set_digest", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(
-        "set_digest", F.coalesce("component", "rep").alias("component_id")
-    )
-    return _spread(sketch, named)
+    found = near_duplicate_rows(docs, [id_column], id_column, text_column, width, percent)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: one a component, see `near_duplicates`.
+
+    It is the row least by id, null ids last; of rows equal in id just one stays. Rows without words all stay.
+    """
+    carried = [c for c in docs.columns if c != text_column] or [id_column]
+    stay = near_duplicate_rows(docs, carried, id_column, text_column, width, percent).where("kept")
+    kind = docs.schema[text_column].dataType
+    return stay.select(*(F.col("text").cast(kind).alias(c) if c == text_column else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
-def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """→ (node, component) of classes linked within their buckets' leaders, and (old, new) of components that other links join."""
     near = least_estimate(percent / 100)
     facts = classes.select("rep", "n", "sig")
     member = classes.select(F.explode("bands").alias("key"), "rep")
@@ -293,12 +322,13 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     best = both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRIED)
     tried = settle(best.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), "tried")
     needed = tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    links = _confirm(tried, _shingle_sets(docs, classes, needed, width), percent)
-
+    sets = _shingle_sets(rows, needed, width)
+    links = _confirm(tried, sets, percent)
     parts = connected_components(links)
+    discard(alike, tried, sets, links)
+
     placed = met.join(parts, met["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    placed = settle(placed.join(facts, "rep"), "placed")
-    shares = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    shares = placed.join(facts.select("rep", "n"), "rep").groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES)).cast("int")
     buckets = shares.groupBy("key").agg(
         F.count(F.lit(1)).alias("parts"),
@@ -312,23 +342,19 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
         blocks(F.col("rows") - F.col("main.rows"), F.col("shingles") - F.col("main.shingles")).alias("lefts"),
         blocks(F.col("rows"), F.col("shingles")).alias("rights"),
     )
-    mixed = settle(placed.join(buckets, "key"), "mixed")
-    if mixed.isEmpty():
-        return links
-    sets = _shingle_sets(docs, classes, mixed.select("rep").distinct(), width)
+    mixed, some = settle_counted(placed.join(buckets, "key").join(facts, "rep"), "mixed")
+    if not some:
+        return parts, None
+    sets = _shingle_sets(rows, mixed.select("rep").distinct(), width)
     block = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     columns = ["key", "i", "j", "left", "rep", "n", "sig", "part"]
     apart = mixed.where("part <> main").withColumn("i", block("lefts")).withColumn("j", every("rights")).withColumn("left", F.lit(True))
     whole = mixed.withColumn("j", block("rights")).withColumn("i", every("lefts")).withColumn("left", F.lit(False))
     dealt = apart.select(*columns).union(whole.select(*columns)).join(sets, "rep")
-    across = dealt.groupBy("key", "i", "j").applyInPandas(_block_linker(percent, near), "a long, b long")
-    return links.union(settle(across, "links"))
-
-
-def _spread(sketch: DataFrame, named: DataFrame) -> DataFrame:
-    """Give each row its class's component. Joined on the digest; a class with many copies is split by AQE."""
-    rows = sketch.select("doc_id", "n_shingles", "set_digest")
-    out = rows.where("set_digest IS NOT NULL").join(named, "set_digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = out.union(rows.where("set_digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    across, joined = settle_counted(dealt.groupBy("key", "i", "j").applyInPandas(_block_linker(percent, near), "a long, b long"), "across")
+    if not joined:
+        return parts, None
+    merged = connected_components(across).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    discard(met, mixed, sets, across)
+    return parts, merged

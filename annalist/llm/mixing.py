@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalist.llm.shared import settle
+from annalist.llm.shared import column, settle
 
 BLOCK_ROWS, SEED = 1024, 17
 #: Sources are few; their totals are read by the driver. More than this many is an error.
@@ -78,22 +78,19 @@ def mix_sources(
     text_column: str = "text",
     source_column: str = "source",
     seed: int = SEED,
+    own_columns: bool = True,
 ) -> DataFrame:
-    """→ the columns of `docs` and: mix_tokens, mix_weight (of the source), mix_epoch (from 1), mix_block, mix_place.
+    """→ the columns of `docs` and, unless `own_columns` is off: mix_tokens, mix_weight (of the source), mix_epoch (from 1), mix_block, mix_place.
 
-    A row for each copy of a document in the mix; ordering a source's rows by epoch and place gives its stream. Tokens are words and one end.
+    A column of the input that has the name of one of these gives way to it; with `own_columns` off all columns stay. A row for each copy of a document in the mix; ordering a source's rows by epoch and place gives its stream. Tokens are words and one end.
     Without a budget none is dropped: each source is passed once at least. A null source is a source of its own. Rows
     equal in id and source stand at the same place and share their fate. An empty table gives an empty mix.
     """
     spark = docs.sparkSession
-    named = F.when(F.col(source_column).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_column).cast("string")))
-    key = _place(F.col(id_column), F.lit(seed), F.lit("doc"))
-    words = F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
-    # the mix's own names carry a prefix; a clash with a column of the input is an error rather than a silent loss
-    clash = {c for c in docs.columns if c.startswith("mix_")}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} clash with the mix's own")
-    slim = settle(docs.select(named.alias("mix_source"), F.col(id_column).cast("string").alias("id"), key.alias("key"), words.cast("long").alias("mix_tokens")), "mix-rows")
+    named = F.when(column(source_column).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), column(source_column).cast("string")))
+    key = _place(column(id_column), F.lit(seed), F.lit("doc"))
+    words = F.regexp_count(F.coalesce(column(text_column).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
+    slim = settle(docs.select(named.alias("mix_source"), column(id_column).cast("string").alias("id"), key.alias("key"), words.cast("long").alias("mix_tokens")), "mix-rows")
     totals = settle(slim.groupBy("mix_source").agg(F.count(F.lit(1)).alias("rows"), F.sum("mix_tokens").alias("tokens")), "mix-totals")
     facts = totals.select("mix_source", "tokens").limit(MOST_SOURCES + 1).collect()
     if len(facts) > MOST_SOURCES:
@@ -130,11 +127,13 @@ def mix_sources(
     fits = inside.withColumn("until", F.sum("mix_tokens").over(order)).where("until <= left")
     last = F.broadcast(settle(fits.groupBy("mix_source").agg(F.max("doc_place").alias("last_place")), "mix-lasts"))
 
-    rows = docs.withColumns({"mix_source": named, "mix_tokens": words.cast("long"), "mix_key": key})
+    rows = docs.select(
+        F.struct(*map(column, docs.columns)).alias("doc"), named.alias("mix_source"), column(id_column).cast("string").alias("id"), key.alias("mix_key"), words.cast("long").alias("mix_tokens")
+    )
     rows = rows.join(plan, "mix_source").join(cut, "mix_source", "left").join(last, "mix_source", "left")
     rows = rows.withColumn("mix_block", F.pmod(F.col("mix_key"), F.col("blocks")))
     own_block = _place(F.col("mix_source"), F.col("mix_block"), F.col("epochs") + 1, F.lit(seed))
-    own_place = _place(F.col(id_column), F.col("epochs") + 1, F.lit(seed))
+    own_place = _place(F.col("id"), F.col("epochs") + 1, F.lit(seed))
     before = (own_block < F.col("cut_place")) | ((own_block == F.col("cut_place")) & (F.col("mix_block") < F.col("cut_block")))
     partial = F.coalesce(before, F.lit(False)) | F.coalesce((F.col("mix_block") == F.col("cut_block")) & (own_place <= F.col("last_place")), F.lit(False))
     copies = F.col("epochs") + partial.cast("long")
@@ -142,6 +141,8 @@ def mix_sources(
     place = F.concat_ws(
         "-",
         F.lpad(_place(F.col("mix_source"), F.col("mix_block"), F.col("mix_epoch"), F.lit(seed)).cast("string"), 19, "0"),
-        F.lpad(_place(F.col(id_column), F.col("mix_epoch"), F.lit(seed)).cast("string"), 19, "0"),
+        F.lpad(_place(F.col("id"), F.col("mix_epoch"), F.lit(seed)).cast("string"), 19, "0"),
     )
-    return rows.withColumn("mix_place", place).select(*docs.columns, "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_place")
+    own = ["mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_place"] if own_columns else []
+    carried = [F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in own]
+    return rows.withColumn("mix_place", place).select(*carried, *own)

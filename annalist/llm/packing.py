@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalist.llm.shared import settle
+from annalist.llm.shared import column, settle
 
 CAPACITY = 2048
 END_ID = 0
@@ -252,7 +252,7 @@ def pack(
     """
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     cut = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids binary" * keep_ids
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    source = docs.select(column(id_column).cast("long").alias("doc_id"), column(text_column).cast("string").alias("text"))
     pieces = settle(source.mapInArrow(_cutter(tokenizer_path, capacity, keep_ids), cut), "pieces")
 
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))

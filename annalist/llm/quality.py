@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist.llm import wordhash
-from annalist.llm.shared import settle
+from annalist.llm.shared import column, settle
 
 VECTORS, DIM, NONZERO, REACH = 4096, 64, 4, 2
 SHAPES = 512  # of the VECTORS rows, the first SHAPES belong to shapes
@@ -96,15 +96,16 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     partial = texts.mapInArrow(_neighbour_sums, "unit int, sums array<bigint>")
     total = partial.groupBy("unit").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(DIM)))
     table = np.zeros((VECTORS, DIM))
-    for row in total.collect():  # VECTORS rows at most; whole numbers, so any order gives the same sums
-        table[row["unit"]] = row[1:]
+    rows = total.toArrow()  # VECTORS rows at most; whole numbers, so any order gives the same sums
+    for k in range(DIM):
+        table[rows.column("unit").to_numpy(), k] = rows.column(f"s{k}").to_numpy()
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def features(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
+def features(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """A row for each text: mean word vector, mean shape vector, log of the word count, whether it has words."""
-    out = np.zeros((len(column), FEATURES), dtype=np.float32)
-    for first, data, offsets in wordhash.text_blocks(column):
+    out = np.zeros((len(texts), FEATURES), dtype=np.float32)
+    for first, data, offsets in wordhash.text_blocks(texts):
         words, shapes, per_text = units(data, offsets)
         some = np.flatnonzero(per_text)
         if not len(some):
@@ -137,32 +138,33 @@ class Network:
 def fit(x: np.ndarray, y: np.ndarray) -> Network:
     """Adam on the log loss, a fifth held back to choose the temperature. One class only: a constant near its share."""
     rng = np.random.default_rng(SEED)
-    x, y = x.astype(np.float64), y.astype(np.float64)
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
+    y = y.astype(np.float64)
+    mean, scale = (x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
     share = (y.sum() + 1) / (len(y) + 2)
     net = Network(mean, scale, rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(share / (1 - share))))
     if len(y) < 10 or y.min() == y.max():
         return net
     order = rng.permutation(len(y))
     check, train = order[: len(y) // 5], order[len(y) // 5 :]
-    z = (x - mean) / scale
+    z = (x - mean.astype(np.float32)) / scale.astype(np.float32)
     params = [net.w1, net.b1, net.w2, np.array(net.b2)]
     m, v, turn = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(EPOCHS if len(train) > 2000 else 4 * EPOCHS):
         rng.shuffle(train)
         for at in range(0, len(train), BATCH):
             some = train[at : at + BATCH]
-            hidden = np.tanh(z[some] @ params[0] + params[1])
+            given = z[some].astype(np.float64)
+            hidden = np.tanh(given @ params[0] + params[1])
             slope = (1 / (1 + np.exp(-np.clip(hidden @ params[2] + params[3], -30, 30))) - y[some]) / len(some)
             back = np.outer(slope, params[2]) * (1 - hidden**2)
-            grads = [z[some].T @ back + 1e-4 * params[0], back.sum(axis=0), hidden.T @ slope + 1e-4 * params[2], slope.sum()]
+            grads = [given.T @ back + 1e-4 * params[0], back.sum(axis=0), hidden.T @ slope + 1e-4 * params[2], slope.sum()]
             turn += 1
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 params[k] = params[k] - RATE * (m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.999**turn)) + 1e-8)
     net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3])
-    logits, truth = net.logit(x[check]), y[check]
+    logits, truth = net.logit(x[check].astype(np.float64)), y[check]
     choices = np.geomspace(0.25, 8, 41)
     loss = [np.logaddexp(0, -np.where(truth > 0, 1, -1) * logits / t).mean() for t in choices]
     net.temperature = float(choices[int(np.argmin(loss))])
@@ -177,7 +179,7 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE
 ) -> tuple[np.ndarray, Network]:
     """Vectors from all texts, and a network fitted on at most `sample` labelled rows (see `score_quality`)."""
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    source = docs.select(column(id_column).cast("long").alias("doc_id"), column(text_column).cast("string").alias("text"))
     vectors = word_vectors(source.select("text"))
     known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).where(
         "doc_id IS NOT NULL AND label IS NOT NULL"
@@ -192,21 +194,32 @@ def fit_quality(
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), flat], names=["doc_id", "label", "x"])
 
     taught = source.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label")  # `sample` ids at most
-    rows = taught.mapInArrow(featurise, "doc_id long, label int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, FEATURES), np.float32)
-    return vectors, fit(x, rows["label"].to_numpy() > 0)
+    rows = taught.mapInArrow(featurise, "doc_id long, label int, x array<float>").toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
+    return vectors, fit(x[order], rows.column("label").to_numpy()[order] > 0)
 
 
-def with_score(docs: DataFrame, vectors: np.ndarray, net: Network, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """`docs` with all its columns and the score of each row, without a shuffle."""
+def with_score(docs: DataFrame, vectors: np.ndarray, net: Network, text_column: str = "text") -> DataFrame:
+    """The columns of `docs` as c0, c1 and so on, and the `score` of each row, without a shuffle."""
+    text, kind = docs.columns.index(text_column), docs.schema[text_column].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index(text_column))
-            p = net.probability(features(text, vectors).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, score_column])
+            p = net.probability(features(batch.column(text).cast(pa.string()), vectors).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(score_column, T.DoubleType())]))
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    if not isinstance(kind, T.StringType):
+        plain = plain.withColumn(f"c{text}", F.col(f"c{text}").cast("string"))
+    return plain.mapInArrow(score, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs` that score `threshold` or more, with all their columns and no other; see `score_quality`."""
+    vectors, net = fit_quality(docs, labels, id_column, text_column)
+    stay = with_score(docs, vectors, net, text_column).where(F.col("score") >= threshold).drop("score")
+    return stay.select(*(F.col(c).cast(f.dataType) for c, f in zip(stay.columns, docs.schema.fields, strict=True))).toDF(*docs.columns)
 
 
 def score_quality(
@@ -221,9 +234,10 @@ def score_quality(
     """→ one row per input row: doc_id, held_out, score (0 to 1), predicted (1 from `threshold` on).
 
     Labels are learnt only from ids whose CRC-32 modulo 5 is not 0, at most `sample` of them; rows with a null id or
-    label teach nothing. Null and empty texts are scored like any other. Without usable labels every score is one half.
+    label teach nothing. Null and empty texts are scored like any other, and so is each row of a repeated id (the larger
+    of its labels counts). Columns besides the two are ignored. Without usable labels every score is one half; an empty table gives no row.
     """
     vectors, net = fit_quality(docs, labels, id_column, text_column, label_column, sample)
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    scored = with_score(source, vectors, net).drop("text")
+    source = docs.select(column(id_column).cast("long").alias("doc_id"), column(text_column).cast("string").alias("text"))
+    scored = with_score(source, vectors, net).withColumnRenamed("c0", "doc_id")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

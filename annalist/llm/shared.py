@@ -10,19 +10,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: str | None = None
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A temporary one only where that is unset and the master
+    is local (tests); a cluster without the setting is an error, as each executor would write to its own disk."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="annalist-")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
@@ -38,12 +44,37 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _folders[table] = path
+    return table
+
+
+def settle_counted(df: DataFrame, name: str, of: Column | None = None) -> tuple[DataFrame, int]:
+    """`settle`, and how many rows there are (or for how many `of` holds), counted as they are written."""
+    seen = Observation()
+    table = settle(df.observe(seen, (F.count(F.lit(1)) if of is None else F.count_if(of)).alias("rows")), name)
+    return table, seen.get["rows"]
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `settle` that no later plan reads."""
+    for settled in tables:
+        delete_folder(settled.sparkSession, _folders.pop(settled))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def text_or_empty(name: str = "text") -> Column:
+    return F.coalesce(column(name).cast("string"), F.lit(""))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from annalist.llm import embedding_dedup, minhash
-from annalist.llm.components import connected_components
+from annalist.llm.components import connected_components, permuted, restored
 from annalist.llm.embedding_dedup import near_duplicate_vectors
 from annalist.llm.exact_dedup import DigestIndex
 from annalist.llm.minhash import near_duplicates, shared_counts
@@ -30,8 +30,14 @@ def groups(ids, linked):
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == groups({x for p in pairs for x in p}, pairs)
+    for parts in (1, 7, 40):
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(parts)).collect()}
+        want = groups({x for p in pairs for x in p}, pairs)
+        assert set(got) == set(want) and len({(got[x], want[x]) for x in got}) == len(set(got.values())) == len(set(want.values()))
+    ids = np.array([0, 1, -1, 2**63 - 1, -(2**63), 12345], dtype=np.int64)
+    assert all((restored(permuted(ids, t), t) == ids).all() for t in range(5))
+    with_null = spark.createDataFrame([(None, 1), (3, None), (4, 4)], "a long, b long")
+    assert [tuple(r) for r in connected_components(with_null).collect()] == [(4, 4)]
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -171,5 +171,7 @@ def test_mixing(spark):
     small = mix_sources(docs, entropy=0.9, budget=5000).collect()
     assert 4500 <= sum(r.mix_tokens for r in small) <= 5000
     assert mix_sources(docs.limit(0), max_repetition=2.0).count() == 0
-    with pytest.raises(ValueError):
-        mix_sources(docs.withColumnRenamed("doc_id", "mix_epoch"), max_repetition=2.0, id_column="mix_epoch")
+    renamed = docs.withColumnRenamed("doc_id", "mix_epoch")
+    mixed = mix_sources(renamed, max_repetition=2.0, id_column="mix_epoch")
+    assert sorted(mixed.columns) == sorted({*renamed.columns, "mix_tokens", "mix_weight", "mix_block", "mix_place"})
+    assert mix_sources(renamed, max_repetition=2.0, id_column="mix_epoch", own_columns=False).columns == renamed.columns

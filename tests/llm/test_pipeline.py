@@ -75,3 +75,33 @@ def test_run(spark, corpus):
     folder, text, _ = corpus
     got = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in got} <= set(text) and len({r.doc_id for r in got}) > 300
+
+
+CLASHING = ["_score", "score", "_stay_id", "_kept", "kept", "mix_tokens", "mix_source", "doc", "row", "key", "digest", "set_digest", "component_id", "c0", "we`ird name"]
+
+
+def test_odd_rows(spark, corpus):
+    """Extra columns of any name, null and repeated ids, equal rows, null sources, empty and very long texts."""
+    folder, text, _ = corpus
+    long = " ".join(f"ta{i % 7}ri mone" for i in range(100_000))
+    other = " ".join(f"lumo{i}" for i in range(60))
+    rows = [(i, t, "s") for i, t in list(text.items())[:60]]
+    rows += [(None, "ta ri mo ne lu tari", "s"), (None, None, None), (None, "", "s"), (7000, long, "s"), (7001, long, None), (7001, long, None)]
+    rows += [(7002, "one clean text of its own with a few words", "s"), (7002, other, "s"), (1, other + " more", "s"), (7003, "  ", "s")]
+    docs = spark.createDataFrame([(*r, *["x"] * len(CLASHING)) for r in rows], ", ".join(["doc_id long", "text string", "source string", *(f"`{c.replace('`', '``')}` string" for c in CLASHING)]))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        kept[name] = [(r.doc_id, r.text) for r in out.collect()]
+        assert stage(spark, docs.limit(0), folder).collect() == []
+    assert set(kept["quality_classifier"]) <= {r[:2] for r in rows}
+    texts = [t or "" for _, t in kept["exact_dedup"]]
+    assert sorted(texts) == sorted({t or "" for _, t, _ in rows}) and (7001, long) in kept["exact_dedup"]
+    near = kept["minhash_near_dedup"]
+    assert (7002, "one clean text of its own with a few words") in near and (7002, other) not in near and (1, other + " more") in near
+    assert [i for i, t in near if t == long] == [7000] and sum(not (t or "").strip() for _, t in near) == sum(not (r[1] or "").strip() for r in rows)
+    assert {(i, t) for i, t in kept["source_mixing"]} == {r[:2] for r in rows}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert sum(r.piece == 0 for r in pieces) == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).collect() == []
