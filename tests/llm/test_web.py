@@ -6,10 +6,13 @@ import hashlib
 import io
 import itertools
 import random
+import re
+import time
 
 import pytest
 
-from annalist.llm.html_text import blocks, extract_text, repeated_spans, unique_runs
+from annalist.llm import html_text
+from annalist.llm.html_text import ASIDE, BODY, OPEN, blocks, extract_text
 from annalist.llm.warc import LoserTree, archive_pages, base32_of_hex, merge_captures, parse_records, read_archives, url_key, write_archives
 from pyspark.sql import functions as F
 
@@ -97,24 +100,119 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <footer>&copy; x</footer>"""
 
 
-def test_structure():
-    assert [t for _, t in blocks(PAGE)] == ["Head & tail", "One two three four", "five", "six <b> é", "last"]
-    assert blocks("") == [] and blocks("<p>") == [] and blocks("plain") == [(0, "plain")]
-    assert blocks("<article><p>a<script>x") == [(1, "a")]
+def body(page):
+    return [t for zone, t in blocks(page) if zone != ASIDE]
 
 
-def test_repeated_spans_against_brute_force():
-    rng = random.Random(9)
-    for _ in range(30):
-        streams = [[rng.choice("abc") for _ in range(rng.randrange(0, 25))] for _ in range(rng.randrange(1, 5))]
-        for least in (1, 2, 3, 6):
-            windows = [{tuple(s[i : i + least]) for i in range(len(s) - least + 1)} for s in streams]
-            for n, (stream, got) in enumerate(zip(streams, repeated_spans(streams, least), strict=True)):
-                want = [False] * len(stream)
-                for i in range(len(stream) - least + 1):
-                    if any(tuple(stream[i : i + least]) in w for m, w in enumerate(windows) if m != n):
-                        want[i : i + least] = [True] * least
-                assert got.tolist() == want
+def test_structure():
+    assert body(PAGE) == ["Head & tail", "One two three four", "five", "six <b> é", "last"]
+    assert blocks("") == [] and blocks("<p>") == [] and blocks("plain") == [(OPEN, "plain")]
+    assert blocks("<article><p>a<script>x") == [(BODY, "a")]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p>a</p><ul><li class="share">S<li>kept item</ul><p>b</p></article>', ["a", "kept item", "b"]),
+        ('<p>one<p class="ad">x<p>two', ["one", "two"]),
+        ('<article><h2 id="search">How search works</h2><section class="social">Social policy text</section></article>', ["How search works", "Social policy text"]),
+        ("<p>stray open</p><article><p>main</p></article><p>more</p>", ["main"]),
+        ('<article><p>a</p><div id="comments"><p>one</p><ul><li>two<li>three</ul></div><p>b</article>', ["a", "b"]),
+        ('<article><ul><li class="ad">x<ul><li>y</ul>z<li>kept</ul></article>', ["kept"]),
+        ('<article><p class="ad">x<div>kept</div></article>', ["kept"]),
+        ('<article><table><tr><td class="ad">x<td>kept<tr><td>too</table></article>', ["kept", "too"]),
+        ('<article>a <span class="ad">x <span>y</span> z</span> b</article>', ["a", "b"]),
+        ("<main><p>a<nav>x</nav><form>y</form>b</main><footer>z</footer>", ["a", "b"]),
+        ('<article data-x="</article>" title=\'>\'>a</b></div>b</article>c', ["ab"]),
+        ("a<!-- <p>x</p> -->b<!doctype x>c<![CDATA[y]]>", ["abc"]),
+        ("a < b &lt; c <3", ["a < b < c <3"]),
+        ('<p>a<p title="never closed>b<p>c', ["a"]),
+    ],
+)
+def test_pages_as_they_are(page, want):
+    assert body(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '", '<a x="', "<!--", "<div>", "</div>", "<p>", "<li>", "<b>", "<", "&", "<script>", "<p class=ad>", "</b><i>"])
+def test_long_unclosed_pages(piece):
+    began = time.monotonic()
+    blocks(piece * (1_000_000 // len(piece)))
+    assert time.monotonic() - began < 10
+
+
+def brute(rows):
+    """What extract_text gives, by sorting all suffixes of a host's streams and comparing neighbours."""
+    pages = [(i, url, blocks(page or "")) for i, url, page in rows]
+    hosts = {}
+    for n, (_, url, found) in enumerate(pages):
+        host = re.match(r"//([^/?#:]*)", (url or "").split(":", 1)[-1])
+        hosts.setdefault(host[1] if host else "", []).append(n)
+    out = {}
+    for own in hosts.values():
+        streams = {n: [["" if zone == BODY else t for zone, t in pages[n][2]], []] for n in own}
+        for n in own:
+            streams[n][1] = [t for block in streams[n][0] for t in (*block.split(), "\n")]
+        distinct = {}
+        for n in own:
+            if any(streams[n][0]):
+                distinct.setdefault(tuple(streams[n][0]), n)
+        needed = max(2, min(html_text.MANY_PAGES, -(-len(distinct) // 2)))
+        gone = {n: [False] * len(streams[n][1]) for n in own}
+        # stretches: neighbours in suffix order that share PASSAGE_TOKENS tokens are one group
+        suffixes = sorted((streams[n][1][k:], n, k) for n in own for k in range(len(streams[n][1])))
+        group = []
+        for place, (suffix, n, k) in enumerate(suffixes):
+            head = suffix[: html_text.PASSAGE_TOKENS]
+            group = [*group, (n, k)] if place and suffixes[place - 1][0][: html_text.PASSAGE_TOKENS] == head else [(n, k)]
+            last = place + 1 == len(suffixes) or suffixes[place + 1][0][: html_text.PASSAGE_TOKENS] != head
+            if last and len(head) == html_text.PASSAGE_TOKENS and len({tuple(streams[m][0]) for m, _ in group}) >= needed:
+                for m, at in group:
+                    gone[m][at : at + len(head)] = [True] * len(head)
+        runs = {}
+        for n in own:
+            texts, at = streams[n][0], 0
+            starts = [at := at + (len(texts[k - 1].split()) + 1 if k else 0) for k in range(len(texts))]
+            for i in range(len(texts)):
+                for j in range(i + 1, len(texts) + 1):
+                    tokens = [t for block in texts[i:j] for t in (*block.split(), "\n")]
+                    if all(texts[i:j]) and len(tokens) >= html_text.LEAST_TOKENS:
+                        runs.setdefault(tuple(tokens), []).append((n, starts[i]))
+        for tokens, places in runs.items():
+            if len({tuple(streams[n][0]) for n, _ in places}) >= needed:
+                for n, at in places:
+                    gone[n][at : at + len(tokens)] = [True] * len(tokens)
+        for n in own:
+            left, at, zones = [], 0, [zone for zone, _ in pages[n][2]]
+            for zone, block in pages[n][2]:
+                size = 0 if zone == BODY else len(block.split())
+                unique = " ".join(t for t, g in zip(block.split(), gone[n][at : at + size]) if not g) if zone == OPEN else block if zone == BODY else ""
+                left.append(unique)
+                at += size + 1
+            if not any(left) and BODY not in zones:
+                left = [t for zone, t in pages[n][2] if zone == OPEN]
+            covered = sum(g and t != "\n" for g, t in zip(gone[n], streams[n][1]))
+            out[pages[n][0]] = ("\n".join(t for t in left if t), covered)
+    return out
+
+
+def test_whole_query_against_sorted_suffixes(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(40)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    menus, notes = [[prose(rng.randrange(1, 5)) for _ in range(4)] for _ in range(3)], [prose(70) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        parts = [f"<p>{b}</p>" for b in rng.choice(menus)] + [f"<p>{prose(rng.randrange(1, 60))}</p>" for _ in range(rng.randrange(3))]
+        if rng.random() < 0.5:
+            note = rng.choice(notes).split()
+            cut = rng.randrange(15)
+            parts.insert(rng.randrange(len(parts) + 1), f"<p>{prose(3)} {' '.join(note[cut:])} {prose(2)}</p>")
+        if rng.random() < 0.3:
+            parts = [f'<nav>{"".join(parts[:2])}</nav>', f'<article><p>{prose(9)}</p><div class="widget">{"".join(parts[2:])}</div></article>']
+        page = rows[rng.randrange(len(rows))][2] if rows and rng.random() < 0.1 else "".join(parts)
+        rows.append((i, f"http://h{rng.randrange(4)}.org/{i}", page))
+    got = {r.page_id: (r.text, r.boilerplate_tokens) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == brute(rows) and sum(n for _, n in got.values()) > 100
 
 
 def test_extract(spark):
@@ -126,7 +224,6 @@ def test_extract(spark):
     assert texts == [(0, ""), (1, "Head & tail\nOne two three four\nfive\nsix <b> é\nlast"), (2, "a text of its own"), (2, "dup & id"), (3, "another one entirely"), (4, "all our offers are on the front page today"), (5, "")]
     assert all(r.n_chars == len(r.text) for r in got) and next(r.n_chars for r in got if r.page_id == 6) == 199_999
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    assert unique_runs([["a b c"], ["a b c"]], 3) == [[""], [""]]
 
 
 def test_large_host(spark):
