@@ -152,10 +152,11 @@ def brute(rows):
         streams = {n: [["" if zone == BODY else t for zone, t in pages[n][2]], []] for n in own}
         for n in own:
             streams[n][1] = [t for block in streams[n][0] for t in (*block.split(), "\n")]
+        kind = lambda n: (*streams[n][0], "".join(zone for zone, _ in pages[n][2]))
         distinct = {}
         for n in own:
             if any(streams[n][0]):
-                distinct.setdefault(tuple(streams[n][0]), n)
+                distinct.setdefault(kind(n), n)
         needed = max(2, min(html_text.MANY_PAGES, -(-len(distinct) // 2)))
         gone = {n: [False] * len(streams[n][1]) for n in own}
         # stretches: neighbours in suffix order that share PASSAGE_TOKENS tokens are one group
@@ -165,7 +166,7 @@ def brute(rows):
             head = suffix[: html_text.PASSAGE_TOKENS]
             group = [*group, (n, k)] if place and suffixes[place - 1][0][: html_text.PASSAGE_TOKENS] == head else [(n, k)]
             last = place + 1 == len(suffixes) or suffixes[place + 1][0][: html_text.PASSAGE_TOKENS] != head
-            if last and len(head) == html_text.PASSAGE_TOKENS and len({tuple(streams[m][0]) for m, _ in group}) >= needed:
+            if last and len(head) == html_text.PASSAGE_TOKENS and len({kind(m) for m, _ in group}) >= needed:
                 for m, at in group:
                     gone[m][at : at + len(head)] = [True] * len(head)
         runs = {}
@@ -178,7 +179,7 @@ def brute(rows):
                     if all(texts[i:j]) and len(tokens) >= html_text.LEAST_TOKENS:
                         runs.setdefault(tuple(tokens), []).append((n, starts[i]))
         for tokens, places in runs.items():
-            if len({tuple(streams[n][0]) for n, _ in places}) >= needed:
+            if len({kind(n) for n, _ in places}) >= needed:
                 for n, at in places:
                     gone[n][at : at + len(tokens)] = [True] * len(tokens)
         for n in own:
