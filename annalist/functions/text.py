@@ -21,7 +21,7 @@ _NUMBER_UNIT = r"^(\d+(?:\.\d+)?)([a-z]+)$"
 
 
 def _among(words: list[str], x: Column) -> Column:
-    return F.array_contains(F.array(*(F.lit(w) for w in words)), x)
+    return x.isin(words)  # a hash set once planned
 
 
 def tokenize(text: Column) -> Column:
@@ -41,7 +41,8 @@ def tokenize(text: Column) -> Column:
             parts = F.filter(F.split(run, r"\."), lambda s: s != "")
             named = run.contains(".") & (F.size(parts) > 1) & F.forall(parts, lambda s: s.rlike("^[a-z]"))
             return (
-                F.when(used, F.array().cast("array<string>"))
+                F.when(~run.rlike("[0-9.]") & ~_among(UNITS, run), F.array(run))  # most runs: no literal, and no unit of one
+                .when(used, F.array().cast("array<string>"))
                 .when(measured, F.array(run, F.concat(run, after), after))
                 .when(run.rlike(_PURE_NUMBER), F.array(run))
                 .when((number != "") & _among(UNITS, unit), F.array(run, number, unit))

@@ -11,6 +11,7 @@ from annalist.functions import text as tx
 from annalist.operators import catalog as cat
 from annalist.operators import retrieval as rt
 from annalist.operators import telemetry as tel
+from annalist.operators.index import SearchIndex
 from annalist.plans.tables import AS_OF, ctes, spark_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -388,9 +389,7 @@ def r_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = spark_table(spark, sf_dir, "entries")
     queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("entry_id"), "embedding")
-    pts = rt.points(entries)
-    post = rt.postings(pts)
-    sparse = rt.sparse_search(queries, post, rt.idf(post, pts), 60)
+    sparse = search_index(spark, sf_dir).sparse_search(queries, 60)
     dense = rt.dense_search(rt.embed(queries, "text"), vectors, 60).withColumn("seq", F.lit(0))
     hits = rt.hydrate(rt.fuse([sparse, dense], 60), entries)
     final = rt.rerank(rt.finalise(hits, AS_OF, 30), AS_OF, 12)
@@ -487,3 +486,78 @@ ORACLE_SQL |= {
         SELECT query_id, entry_id, source_type, p::INT AS place, round(s, 6) AS s FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over_cap, pos) AS p FROM placed) WHERE p <= 8""",
 }
+
+
+_indexes: dict[tuple[str, str], SearchIndex] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The stored index of the entries of `sf_dir`, built at the first call of a session, in the folder the cluster shares."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{named.rstrip('/')}/annalist-index/{key[0]}-{len(_indexes)}"
+        _indexes[key] = SearchIndex.build(spark_table(spark, sf_dir, "entries"), path)
+    return _indexes[key]
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+
+
+#: Chunks of entries: the title's paragraph, and the body's, cut; the test texts have no blank lines.
+_CHUNKS_SQL = r"""
+    whole AS (SELECT id AS entry_id, regexp_replace(title, '\n+$', '') AS title, regexp_replace(body, '\s+$', '', 'g') AS b,
+        regexp_replace(title || chr(10) || chr(10) || body, '^\s+|\s+$', '', 'g') AS t FROM entries),
+    pieces AS (SELECT entry_id, title, b, t, unnest(range(0, CASE WHEN length(t) <= 1800 THEN 1 ELSE ceil(length(b) / 1800)::BIGINT + 1 END)) AS seq FROM whole),
+    points AS (SELECT entry_id, seq, regexp_replace(CASE WHEN length(t) <= 1800 THEN t WHEN seq = 0 THEN title
+        WHEN seq = 1 THEN title || chr(10) || chr(10) || substring(b, 1, 1800)
+        ELSE right(substring(b, (seq - 2) * 1800 + 1, 1800), 200) || chr(10) || chr(10) || substring(b, (seq - 1) * 1800 + 1, 1800) END, '^\s+|\s+$', '', 'g') AS c FROM pieces)"""
+_POINTS_SPARSE_SQL = rf"""{_CHUNKS_SQL},
+    terms AS (SELECT entry_id, seq, token, 1 + ln(count(*)) AS w FROM (SELECT entry_id, seq, unnest({_tokens_sql("c")}) AS token FROM points) GROUP BY 1, 2, 3),
+    idf AS (SELECT token, ln(1 + ((SELECT count(*) FROM points) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM terms GROUP BY token),
+    asked AS (SELECT item_id AS query_id, token, 1 + ln(count(*)) AS w FROM (SELECT item_id, unnest({_tokens_sql("text")}) AS token FROM benchmark) GROUP BY 1, 2),
+    sparse AS (SELECT query_id, entry_id, seq, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id, seq) - 1 AS rank FROM (
+        SELECT query_id, entry_id, seq, round(sum(asked.w * idf * terms.w), 9) AS score FROM asked JOIN idf USING (token) JOIN terms USING (token) GROUP BY 1, 2, 3))"""
+
+
+def r1_index_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index holds: each point's place, size and content hash. Built from chunks (`rt.points`), as its searches are."""
+    return search_index(spark, sf_dir).points().select("entry_id", F.col("seq").cast("long").alias("seq"), F.length("chunk").cast("long").alias("n_chars"), tx.content_hash(F.col("chunk")).alias("hash"))
+
+
+def r4_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search over the stored postings of chunks."""
+    found = search_index(spark, sf_dir).sparse_search(_benchmark(spark, sf_dir), 10)
+    return found.select("query_id", "entry_id", F.col("seq").cast("long").alias("seq"), F.round("score", 6).alias("score"), "rank")
+
+
+def r6_index_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text fallback over the stored tokens of entries."""
+    return search_index(spark, sf_dir).fts_search(_benchmark(spark, sf_dir), 20).select("query_id", "entry_id", "score", "rank")
+
+
+def f1_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search with filters inside the branch, before ranking."""
+    found = search_index(spark, sf_dir).sparse_search(_benchmark(spark, sf_dir), 5, F.col("source_type").isin("doc", "commit") & (F.col("component") == "en"))
+    return found.select("query_id", "entry_id", F.col("seq").cast("long").alias("seq"), F.round("score", 6).alias("score"), "rank")
+
+
+def s19_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of 100 points by id."""
+    index = search_index(spark, sf_dir)
+    last = index.scroll(100).agg(F.max(F.struct("entry_id", "seq")).alias("m")).first()["m"]
+    return index.scroll(100, (last["entry_id"], last["seq"])).select("entry_id", F.col("seq").cast("long").alias("seq"), F.length("chunk").cast("long").alias("n_chars"))
+
+
+QUERIES |= {f.__name__: f for f in (r1_index_points, r4_index_search, r6_index_fts, f1_index_filtered, s19_scroll)}
+ORACLE_SQL |= {
+    "r1_index_points": f"{ctes('entries')},\n{_CHUNKS_SQL} SELECT entry_id, seq, length(c) AS n_chars, substring(sha256(c), 1, 16) AS hash FROM points WHERE c <> ''",
+    "r4_index_search": f"{ctes('entries')},\n{_POINTS_SPARSE_SQL} SELECT query_id, entry_id, seq, round(score, 6) AS score, rank::INT AS rank FROM sparse WHERE rank < 10",
+    "r6_index_fts": ORACLE_SQL["r6_fts_search"],
+    "f1_index_filtered": f"""{ctes('entries')},\n{_POINTS_SPARSE_SQL},
+        within AS (SELECT sparse.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id, seq) - 1 AS place FROM sparse JOIN entries ON id = entry_id
+            WHERE source_type IN ('doc', 'commit') AND component = 'en')
+        SELECT query_id, entry_id, seq, round(score, 6) AS score, place::INT AS rank FROM within WHERE place < 5""",
+    "s19_scroll": f"{ctes('entries')},\n{_CHUNKS_SQL} SELECT entry_id, seq, length(c) AS n_chars FROM points WHERE c <> '' ORDER BY entry_id, seq LIMIT 100 OFFSET 100",
+}
