@@ -173,8 +173,9 @@ def least_estimate(threshold: float) -> float:
 
 
 def _shingle_sets(rows: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(rep, hashes) of the classes in `needed(rep)`, read from the texts of just those rows."""
-    texts = needed.join(rows.select(F.col("row").alias("rep"), "text"), "rep").select("rep", "text")
+    """(rep, hashes) of the classes in `needed(rep)`, read from the texts of just those rows. How many are needed grows with the
+    corpus, so they are merged with the rows at any size."""
+    texts = needed.hint("merge").join(rows.select(F.col("row").alias("rep"), "text"), "rep").select("rep", "text")
     return settle(texts.mapInArrow(_set_reader(width), "rep long, hashes binary"), "shingle-sets")
 
 
