@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.components import connected_components
-from annalist.llm.shared import settle
+from annalist.llm.shared import column, settle
 
 PASSES, WINDOW, KEY_BITS, SEED = 24, 64, 48, 20240131
 #: Numbers in the vectors of one block, about, and rows compared at once.
@@ -55,8 +55,9 @@ def _keyer(passes: int):
     return run
 
 
-def _unit(column) -> np.ndarray:
-    x = np.stack(list(column)).astype(np.float64)
+def _unit(vectors) -> np.ndarray:
+    x = np.stack(list(vectors)).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components would overflow or vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -155,12 +156,12 @@ def near_duplicate_vectors(
 
     Rows are compared only when their labels are equal and not null and their vectors have the same length. A vector
     that is null, empty or zero, or holds a null or non-finite component, links with nothing. Rows of a repeated id
-    count as separate vectors; rows with a null id link with nothing. `kept` marks the row whose id is its component's smallest.
+    count as separate vectors; rows with a null id link with nothing. Other columns are ignored; an empty table gives no row. `kept` marks the row whose id is its component's smallest.
     """
     rows = vectors.select(
-        F.col(id_column).cast("long").alias("vec_id"),
-        F.col(label_column).alias("label"),
-        F.col(vector_column).cast("array<double>").alias("embedding"),
+        column(id_column).cast("long").alias("vec_id"),
+        column(label_column).alias("label"),
+        column(vector_column).cast("array<double>").alias("embedding"),
     )
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     sane = F.coalesce(finite & (F.size("embedding") > 0) & F.exists("embedding", lambda v: v != 0), F.lit(False))
@@ -173,11 +174,11 @@ def near_duplicate_vectors(
     reps = settle(
         rows.where("valid")
         .groupBy("same")
-        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding")),
+        .agg(F.min("vec_id").alias("min_id"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+        # an id that repeats with different vectors is one node of the graph but several classes: classes get numbers of their own
+        .withColumn("rep", F.monotonically_increasing_id()),
         "vector-classes",
     )
-    # an id that repeats with different vectors is one node of the graph but several classes: classes get ids of their own
-    reps = settle(reps.select("same", F.col("rep").alias("min_id"), "mult", F.xxhash64("same", F.lit(SEED)).alias("rep"), "label", "embedding"), "vector-classes")
 
     label_type = reps.schema["label"].dataType.simpleString()
     schema = f"pass int, label {label_type}, dim int, key long, rep long, embedding array<double>"
@@ -194,6 +195,8 @@ def near_duplicate_vectors(
     pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mult", "part", "embedding"
     )
+    # dealt by block pair, as the join's own dealing by label would leave all pairs of a label in one task
+    pairs = pairs.repartition("label", "dim", "i", "j")
     met = settle(pairs.groupBy("label", "dim", "i", "j").applyInPandas(_counter(threshold), "rep long, n long, other long"), "vector-counts")
     counted = met.where("n IS NOT NULL").groupBy("rep").agg(F.sum("n").alias("n"))
     apart = met.where("n IS NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))

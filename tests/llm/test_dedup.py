@@ -156,6 +156,14 @@ def test_vectors(spark):
     assert near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_odd_rows(spark):
+    """Null and repeated ids, huge and tiny components, clashing names."""
+    rows = [(None, [1.0, 0.0], 0), (5, [1.0, 0.0], 0), (5, [1.0, 0.01], 0), (5, [0.0, 1.0], 0), (9, [1e200, 1e200], 1), (8, [1e-200, 1e-200], 1), (7, [-1e200, 1e200], 1)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, rep string, same int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(frame).collect())
+    assert got == [(0, 0, None, True), (5, 0, 5, True), (5, 1, 5, True), (5, 1, 5, True), (7, 0, 7, True), (8, 1, 8, True), (9, 1, 8, False)]
+
+
 def test_vectors_that_windows_miss(spark):
     """Pairs in a label of spread-out vectors, far apart in the order of the only pass: every link is found nevertheless."""
     rng = np.random.default_rng(8)
