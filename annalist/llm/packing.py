@@ -151,37 +151,65 @@ class Plan:
         return self.sequence[slot] + rank - self.first[slot], self.offset[slot]
 
 
-def _complement(left: np.ndarray, gap: int) -> tuple[int, ...]:
-    """Lengths that fill `gap` exactly: one, else two, else three, the longest first; () if there are none."""
+class SumIndex:
+    """For every sum up to the capacity, how many ordered pairs and triples of the available lengths make it.
+
+    A length that is used up leaves the index: with H the available lengths as a polynomial, H^2 and H^3 count pairs and
+    triples, and what the term x^v takes from them is known from the powers that remain.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.single = (left > 0).astype(np.int64)
+        self.single[0] = 0
+        size = len(left)
+        self.pairs = np.convolve(self.single, self.single)[:size]
+        self.triples = np.convolve(self.pairs, self.single)[:size]
+
+    def remove(self, length: int) -> None:
+        size = len(self.single)
+
+        def behind(counts: np.ndarray, by: int) -> np.ndarray:
+            out = np.zeros(size, dtype=np.int64)
+            if by < size:
+                out[by:] = counts[: size - by]
+            return out
+
+        one = np.zeros(size, dtype=np.int64)
+        one[0] = 1
+        self.single[length] = 0
+        self.pairs -= 2 * behind(self.single, length) + behind(one, 2 * length)
+        self.triples -= 3 * behind(self.pairs, length) + 3 * behind(self.single, 2 * length) + behind(one, 3 * length)
+
+
+def _complement(left: np.ndarray, index: SumIndex, gap: int) -> tuple[int, ...]:
+    """Lengths that fill `gap` exactly: one, else two, else three, the longest first; () if there are none. The index tells
+    whether any lengths make the sum, `left` whether there are enough of each."""
     if left[gap]:
         return (gap,)
-    have = left > 0
 
     def pair(total: int, below: int) -> tuple[int, int] | None:
         big = np.arange(min(below, total - 1), (total - 1) // 2, -1)
-        ok = have[big] & have[total - big]
+        ok = (left[big] > 0) & (left[total - big] > 0)
         if total % 2 == 0 and len(big) and big[-1] * 2 == total:
             ok[-1] = left[total // 2] > 1
         at = np.flatnonzero(ok)
         return (int(big[at[0]]), int(total - big[at[0]])) if len(at) else None
 
-    if got := pair(gap, gap):
+    if index.pairs[gap] and (got := pair(gap, gap)):
         return got
-    for big in np.flatnonzero(have[: gap - 1])[::-1]:
-        big = int(big)
-        if 3 * big < gap:
-            break
-        got = pair(gap - big, big)
-        if got:
-            three = (big, *got)
-            if all(left[v] >= three.count(v) for v in set(three)):
-                return three
+    if index.triples[gap]:
+        firsts = np.arange(max(gap - 2, 0), -(-gap // 3) - 1, -1)
+        for big in firsts[(left[firsts] > 0) & (index.pairs[gap - firsts] > 0)].tolist():
+            got = pair(gap - big, big)
+            if got and all(left[v] >= (big, *got).count(v) for v in {big, *got}):
+                return (big, *got)
     return ()
 
 
 def plan_packing(counts: np.ndarray, capacity: int) -> Plan:
     """Pack `counts[l]` pieces of each length l into sequences of `capacity`; see the module's docstring."""
     left, used = counts.astype(np.int64).copy(), np.zeros(capacity + 1, dtype=np.int64)
+    index = SumIndex(left)
     slots: list[tuple[int, int, int, int, int]] = []
     sequences = 0
 
@@ -194,6 +222,9 @@ def plan_packing(counts: np.ndarray, capacity: int) -> Plan:
             used[v] += times
             left[v] -= times
             offset += v
+        for v in set(lengths):
+            if not left[v] and index.single[v]:
+                index.remove(v)
         sequences += times
 
     if left[capacity]:
@@ -201,7 +232,7 @@ def plan_packing(counts: np.ndarray, capacity: int) -> Plan:
     for longest in range(capacity - 1, 0, -1):
         while left[longest]:
             left[longest] -= 1
-            rest = _complement(left, capacity - longest)
+            rest = _complement(left, index, capacity - longest)
             left[longest] += 1
             if not rest:
                 break

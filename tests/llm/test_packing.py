@@ -2,13 +2,14 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from annalist.llm.packing import WordEncoder, pack, plan_packing
+from annalist.llm.packing import SumIndex, WordEncoder, pack, plan_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -64,3 +65,16 @@ def test_pack_round_trip(spark):
         by[r.sequence_id] = r.offset + r.length
     assert max(by.values()) <= 64
     assert pack(docs.limit(0), PATH).count() == 0
+
+
+def test_sum_index_against_brute_force():
+    rng = np.random.default_rng(2)
+    left = (rng.random(60) < 0.4).astype(np.int64)
+    index = SumIndex(left)
+    for length in [*np.flatnonzero(left)[rng.permutation(int((left > 0).sum()))].tolist()]:
+        have = np.flatnonzero(index.single)
+        pairs, triples = Counter(int(a + b) for a in have for b in have), Counter(int(a + b + c) for a in have for b in have for c in have)
+        assert all(index.pairs[s] == pairs[s] and index.triples[s] == triples[s] for s in range(60))
+        if length:
+            index.remove(length)
+    assert not index.single.any() and not index.pairs.any() and not index.triples.any()
