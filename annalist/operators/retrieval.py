@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annalist.functions.text import age_months, chunk, fnv1a, recency_factor, term_weight, tokenize
+from annalist.storage import written
 
 #: A batch of at most so many queries is broadcast to scan vectors; larger ones are scanned in slices of this size.
 FEW_QUERIES = 10_000
@@ -104,16 +105,14 @@ def dense_search(queries: DataFrame, vectors: DataFrame, limit: int, exclude_sel
     asked = queries.select("query_id", "embedding").limit(FEW_QUERIES + 1).collect()
     if len(asked) <= FEW_QUERIES:
         return _dense_slice(asked, vectors, limit, exclude_self)
-    from annalist.llm.shared import settle  # only large batches need the other subpackage
-
     # one slice of queries is on the driver at a time; its result is written before the next one is taken
     del asked
-    every = settle(queries.select("query_id", "embedding"), "dense-queries")
+    every = written(queries.select("query_id", "embedding"), "dense-queries")
     parts = -(-every.count() // FEW_QUERIES)
-    rows = settle(every.repartition(parts), "dense-queries").toLocalIterator()
+    rows = written(every.repartition(parts), "dense-queries").toLocalIterator()
     slices = []
     while some := list(islice(rows, FEW_QUERIES)):
-        slices.append(settle(_dense_slice(some, vectors, limit, exclude_self).drop("rank"), "dense-slice"))
+        slices.append(written(_dense_slice(some, vectors, limit, exclude_self).drop("rank"), "dense-slice"))
     return _top(reduce(DataFrame.unionByName, slices), limit, "entry_id")
 
 

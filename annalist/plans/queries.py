@@ -13,6 +13,7 @@ from annalist.operators import retrieval as rt
 from annalist.operators import telemetry as tel
 from annalist.operators.index import SearchIndex
 from annalist.plans.tables import AS_OF, ctes, spark_table
+from annalist.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -495,8 +496,7 @@ def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     """The stored index of the entries of `sf_dir`, built at the first call of a session, in the folder the cluster shares."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{named.rstrip('/')}/annalist-index/{key[0]}-{len(_indexes)}"
+        path = f"{shared_folder(spark)}/annalist-index/{key[0]}-{len(_indexes)}"
         _indexes[key] = SearchIndex.build(spark_table(spark, sf_dir, "entries"), path)
     return _indexes[key]
 
