@@ -21,6 +21,7 @@ from annalist.operators import telemetry as tel
 from annalist.operators.catalog import Filters
 
 SEARCH_MOST, ASK_MOST, EVIDENCE_MOST, TIMELINE_MOST, DAYS_MOST = 100, 30, 20, 200, 365
+REASON_MOST = 200
 
 
 def clamp(value: int, least: int, most: int) -> int:
@@ -69,25 +70,37 @@ class Engine:
 
     def search(self, queries: DataFrame, filters: Filters = Filters(), limit: int = 20, mode: str = "hybrid") -> DataFrame:
         """`queries(query_id, text[, embedding])` → hits. `hybrid` needs vectors and embeddings and else becomes
-        `sparse-only`; `fts` needs no index. The mode taken is a column."""
+        `sparse-only`; where a search can't be made the next lesser one is: hybrid, sparse-only, fts, which needs no index. `mode` is the
+        one taken, `degraded` whether it is less than asked for, `reason` why."""
         limit = clamp(limit, 1, SEARCH_MOST)
         fetch = min(2 * limit, SEARCH_MOST)
         branch = max(3 * fetch, 30)
         rows = self.entries.where(self._widened(filters).column())
-        if mode == "hybrid" and (self.vectors is None or "embedding" not in queries.columns):
-            mode = "sparse-only"
+        reason, chain = None, ("hybrid", "sparse-only", "fts")
+        for taken in chain[chain.index(mode) :]:
+            if taken == "hybrid" and (self.vectors is None or "embedding" not in queries.columns):
+                reason = "no vectors"
+                continue
+            try:
+                hits = self._hits(taken, queries, rows, branch, fetch)
+                break
+            except Exception as failure:  # the caller reads why in `reason`
+                if taken == "fts":
+                    raise
+                reason = f"{taken} failed: {failure}".splitlines()[0][:REASON_MOST]
+        out = rt.finalise(rt.hydrate(hits, rows), self.as_of, limit)
+        return out.withColumns({"mode": F.lit(taken), "degraded": F.lit(taken != mode), "reason": F.lit(reason).cast("string")})
+
+    def _hits(self, mode: str, queries: DataFrame, rows: DataFrame, branch: int, fetch: int) -> DataFrame:
         if mode == "fts":
-            hits = rt.fts_search(queries, rows, fetch)
-        else:
-            everything = rt.points(self.entries)
-            weights = rt.idf(rt.postings(everything), everything)
-            sparse = rt.sparse_search(queries, rt.postings(rt.points(rows)), weights, branch)
-            branches = [sparse]
-            if mode == "hybrid":
-                near = self.vectors.join(rows.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
-                branches.append(rt.dense_search(queries, near, branch).withColumn("seq", F.lit(0)))
-            hits = rt.fuse(branches, fetch)
-        return rt.finalise(rt.hydrate(hits, rows), self.as_of, limit).withColumn("mode", F.lit(mode))
+            return rt.fts_search(queries, rows, fetch)
+        everything = rt.points(self.entries)
+        weights = rt.idf(rt.postings(everything), everything)
+        branches = [rt.sparse_search(queries, rt.postings(rt.points(rows)), weights, branch)]
+        if mode == "hybrid":
+            near = self.vectors.join(rows.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
+            branches.append(rt.dense_search(queries, near, branch).withColumn("seq", F.lit(0)))
+        return rt.fuse(branches, fetch)
 
     def context(self, queries: DataFrame, filters: Filters = Filters(), k: int = 12) -> DataFrame:
         """Hits for an answer: searched, topped up with explaining sources, reranked. A scoped question without any hit is
@@ -164,7 +177,8 @@ class Engine:
     def usage_calls(self, size: int = 100, before: tuple[str, int] | None = None, **filters) -> dict[str, DataFrame]:
         """A page, and counts and facets of everything the filters let through (whatever the page)."""
         rows = tel.filter_calls(self.usage, **filters)
-        return {"page": tel.call_page(rows, self.reply, size, before), "facets": tel.facets(rows), "total": rows.agg(F.count(F.lit(1)).alias("calls"))}
+        page = tel.call_page(rows, self.reply, size, before)
+        return {"page": page, "next": tel.next_cursor(page, max(1, min(size, 500))), "facets": tel.facets(rows), "total": rows.agg(F.count(F.lit(1)).alias("calls"))}
 
     def call(self, call_id: int) -> DataFrame:
         return self.usage.where(F.col("id") == call_id).join(self.reply, F.col("id") == F.col("call_id"), "left")

@@ -25,6 +25,11 @@ def parameter(raw: Column, key: str) -> Column:
     return F.get(F.filter(parameters(raw), lambda p: p["key"] == key), F.lit(0))["value"]
 
 
+def matches(haystack: Column, needle: str) -> Column:
+    """Whether a text holds the needle, whatever the letter case; an empty needle is in every text, null holds nothing else."""
+    return F.lit(True) if not needle else F.contains(F.lower(F.coalesce(haystack, F.lit(""))), F.lit(needle.lower()))
+
+
 def is_query_string(raw: Column) -> Column:
     return raw.rlike(_QUERY_STRING)
 

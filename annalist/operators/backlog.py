@@ -69,7 +69,9 @@ def link_markers(lines: DataFrame, threshold: float = LEAST_MATCH) -> DataFrame:
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*_FILE, "line").orderBy(F.desc("reviewed_at"))
+    """The latest review of each line; of several at one time the first by `seq` if there is such a column, then by status."""
+    ties = ["seq", "status"] if "seq" in verdicts.columns else ["status"]
+    order = Window.partitionBy(*_FILE, "line").orderBy(F.desc("reviewed_at"), *ties)
     return verdicts.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Projects are few (a row a repository); joined by broadcast only below this many, else by shuffle.
 FEW_PROJECTS = 100_000
@@ -102,6 +103,45 @@ def uncovered(entries: DataFrame, current: str) -> DataFrame:
     return entries.where(~F.col("vectorized_in").eqNullSafe(F.lit(current)))
 
 
+def record_counts(entries: DataFrame, sessions: DataFrame, current: str, up_to: int) -> DataFrame:
+    """One row: sessions, entries, those with ids up to `up_to`, those the current collection covers and lacks, archived documents, the latest time."""
+    has = F.col("vectorized_in").eqNullSafe(F.lit(current))
+    rows = entries.agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.count_if(F.col("id") <= up_to).alias("up_to"),
+        F.count_if(has).alias("covered"),
+        F.count_if(~has).alias("uncovered"),
+        F.count_if(F.col("doc_status").eqNullSafe("archived")).alias("archived"),
+        F.max("occurred_at").alias("latest"),
+    )
+    return rows.crossJoin(sessions.agg(F.count(F.lit(1)).alias("sessions")))  # one row each
+
+
+def with_projects(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """Entries or sessions of known projects, with what their project is an alias of."""
+    return rows.join(projects.select(F.col("slug").alias("project"), "alias_of"), "project")
+
+
+def page_after(entries: DataFrame, cursor: int, limit: int, current: str | None = None, covered: bool | None = None) -> DataFrame:
+    """A page by ascending id after the cursor: of all entries, or of those that the current collection covers or lacks."""
+    rows = entries.where(F.col("id") > cursor)
+    if covered is not None:
+        has = F.col("vectorized_in").eqNullSafe(F.lit(current))
+        rows = rows.where(has if covered else ~has)
+    return rows.orderBy("id").limit(limit)
+
+
+def newest(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows of the highest ids: recent runs, recent errors."""
+    return rows.orderBy(F.desc("id")).limit(limit)
+
+
+def backlog_entries(entries: DataFrame) -> DataFrame:
+    """Backlog lines with their place (from 0) in their project: by file, then by id."""
+    order = Window.partitionBy("project").orderBy("source_path", "id")
+    return entries.where(F.col("source_type") == "backlog").withColumn("place", F.row_number().over(order) - 1)
+
+
 def timeline(entries: DataFrame, limit: int, before: tuple[str, int] | None = None, filters: Filters = Filters()) -> DataFrame:
     """Dated entries, newest first. The cursor is (time, id), so entries of equal time are never skipped."""
     rows = entries.where(filters.column() & F.col("occurred_at").isNotNull())
@@ -138,8 +178,10 @@ def merge_rows(held: DataFrame, new: DataFrame, keys: list[str], keep: list[str]
     return joined.select(*out)
 
 
-def new_entries(batch: DataFrame, held: DataFrame, key: str = "dedup_key") -> DataFrame:
-    """Rows of a batch to append: keys not held yet, each once (of repeats the row least by all its columns)."""
-    once = batch.groupBy(key).agg(F.min(F.struct(*(c for c in batch.columns if c != key))).alias("row"))
+def new_entries(batch: DataFrame, held: DataFrame, key: str = "dedup_key", order: str | None = None) -> DataFrame:
+    """Rows of a batch to append: keys not held yet, each once: of repeats the first by `order` (a column without ties within a
+    key), without one the row least by all its columns."""
+    row = F.struct(*(c for c in batch.columns if c != key))
+    once = batch.groupBy(key).agg((F.min_by(row, order) if order else F.min(row)).alias("row"))
     rows = once.select(key, "row.*").select(*batch.columns)
     return rows.join(held.select(key), key, "left_anti")

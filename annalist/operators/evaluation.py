@@ -132,6 +132,73 @@ def summarise(scores: DataFrame) -> DataFrame:
     return both.groupBy("pool", "class").agg(F.count("value").alias("n"), F.round(F.avg("value"), 9).alias("mean"), (F.count("value") < 8).alias("indicative"))
 
 
+# fixed values: the metrics of each pool of queries, and the depth of the graded one
+METRICS = {"A": ("ndcg", "precision", "recall"), "B": ("mrr", "hit"), "L": ("mrr", "hit"), "N": ()}
+NDCG_DEPTH = 10
+_QUERY = ["query_id", "pool", "class"]
+
+
+def score_queries(
+    queries: DataFrame, context: DataFrame, candidates: DataFrame, grades: DataFrame, unjudged: DataFrame, gold: DataFrame, k: int, cutoff: int, unjudged_as: int
+) -> DataFrame:
+    """Each of `queries(query_id, pool, class)` with the metrics of its pool; the others are null.
+
+    `context` and `candidates(query_id, item, rank)` are what an answer sees and what was retrieved. Pools B and L look for
+    their gold items. Pool A is graded, `unjudged(query_id, item)` items as `unjudged_as` (a grade wins over that); a query of which
+    nothing was judged or awaits judgement has no value. Negatives (N) have none. `unjudged` counts hits without a grade.
+    """
+    waiting = unjudged.select("query_id", "item").distinct().join(grades, ["query_id", "item"], "left_anti")
+    known = grades.select("query_id", "item", "grade").unionByName(waiting.withColumn("grade", F.lit(unjudged_as)))
+    judged = known.select("query_id").distinct().withColumn("judged", F.lit(True))
+    seen = context.select("query_id", "item").unionAll(candidates.select("query_id", "item")).join(waiting, ["query_id", "item"])
+    found = reciprocal_rank(candidates.where(F.col("rank") < cutoff), gold, k).select("query_id", F.col("rr").alias("mrr"))
+    hit = reciprocal_rank(context, gold, k).select("query_id", F.col("hit").cast("double").alias("hit"))
+    parts = (
+        judged, found, hit, ndcg(context, known, NDCG_DEPTH), recall_precision(context, known, k).select("query_id", "precision"),
+        recall_precision(candidates, known, cutoff).select("query_id", "recall"), seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("seen")),
+    )
+    rows = queries.select(*_QUERY)
+    for part in parts:
+        rows = rows.join(part, "query_id", "left")
+    graded, golden = (F.col("pool") == "A") & F.col("judged"), F.col("pool").isin("B", "L")
+    of = {"ndcg": F.col("ndcg"), "precision": F.coalesce("precision", F.lit(0.0)), "recall": F.col("recall")}
+    return rows.select(
+        *_QUERY, *(F.when(graded, v).alias(m) for m, v in of.items()), *(F.when(golden, F.coalesce(m, F.lit(0.0))).alias(m) for m in ("mrr", "hit")),
+        F.when(graded, F.coalesce("seen", F.lit(0))).otherwise(F.lit(0)).alias("unjudged"),
+    )
+
+
+def compare(base: DataFrame, candidate: DataFrame, seed: int = 1, resamples: int = 10_000) -> DataFrame:
+    """Two variants' scores of the same queries, paired by pool, class (and over all classes) and metric: n, wins, losses, ties, mean_delta, low,
+    high, straddles_zero, indicative (a class of fewer than 8 queries). Comparisons without a pair are left out."""
+    names = sorted({m for of in METRICS.values() for m in of})
+    fits = F.lit(False)
+    for pool_name, of in METRICS.items():
+        fits = fits | ((F.col("pool") == pool_name) & F.col("metric").isin(*of))
+    x = base.unpivot(_QUERY, names, "metric", "x").where(fits)
+    y = candidate.unpivot(["query_id"], names, "metric", "y")
+    each = x.join(y, ["query_id", "metric"], "left").withColumn("delta", F.col("y") - F.col("x"))
+    each = each.unionByName(each.withColumn("class", F.lit("all")))
+    key, d = ["pool", "class", "metric"], F.col("delta")
+    rows = each.groupBy(*key).agg(
+        F.count("delta").alias("n"), F.count_if(d > 1e-9).alias("wins"), F.count_if(d < -1e-9).alias("losses"), F.count_if(F.abs(d) <= 1e-9).alias("ties"),
+        F.round(F.avg("delta"), 9).alias("mean_delta"), ((F.col("class") != "all") & (F.count(F.lit(1)) < 8)).alias("indicative"),
+    )
+    interval = bootstrap(each.where("delta IS NOT NULL").select(F.concat_ws("/", *key).alias("group"), "query_id", "delta"), resamples, seed)
+    joined = rows.where("n > 0").withColumn("group", F.concat_ws("/", *key)).join(interval.drop("n"), "group", "left")
+    return joined.drop("group")
+
+
+def flipped(optimistic: DataFrame, pessimistic: DataFrame) -> DataFrame:
+    """Comparisons that the two bounds of unjudged items decide differently, by sign or by whether zero lies in the interval. A
+    decision holds if there is none."""
+    key = ["pool", "class", "metric"]
+    other = pessimistic.select(*key, F.col("mean_delta").alias("other"), F.col("straddles_zero").alias("other_straddles"))
+    rows = optimistic.join(other, key).where("mean_delta IS NOT NULL AND other IS NOT NULL")
+    differs = (F.signum("mean_delta") != F.signum("other")) | ~F.col("straddles_zero").eqNullSafe(F.col("other_straddles"))
+    return rows.where(differs).select(*key, "mean_delta", F.col("other").alias("mean_delta_pessimistic"))
+
+
 def resolution_floor(kappa: float) -> float:
     """The least difference that judges of this agreement can tell."""
     return min(0.2, max(0.01, (1 - kappa) / 2))

@@ -99,3 +99,23 @@ def signals(hits: DataFrame, dense: DataFrame, queries: DataFrame) -> DataFrame:
         "query_id", six("rrf1").alias("rrf1"), six("rrf5").alias("rrf5"), six(F.try_divide("rrf1", "median")).alias("rrf_gap"), six("cosine1").alias("cosine1"),
         six("cosine5").alias("cosine5"), six("lexical_overlap").alias("lexical_overlap"), F.coalesce("hits", F.lit(0)).alias("hits"),
     )
+
+
+# fixed values: what a recorded tool call says
+_CALL = (
+    "array<struct<type:string,name:string,input:struct<question:string,query:string,project:string,kind:string,source:string,since:string,until:string>>>"
+)
+
+
+def tool_queries(lines: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """Questions that transcripts put to the given tools: `lines(ref, line)` → ref, at, text, project, kind, source_type, since, until. Lines
+    that are no JSON, or hold no such call, give nothing."""
+    named = F.lit(False)
+    for tool in tools:
+        named = named | F.col("line").contains(tool)
+    said = F.from_json("line", "timestamp STRING, content STRING, message STRUCT<content: STRING>")
+    rows = lines.where(named).select("ref", said.alias("m")).select("ref", F.col("m.timestamp").alias("at"), F.from_json(F.coalesce("m.message.content", "m.content"), _CALL).alias("calls"))
+    calls = rows.select("ref", "at", F.explode("calls").alias("c")).where((F.col("c.type") == "tool_use") & F.col("c.name").isin(*tools))
+    text = F.trim(F.coalesce("c.input.question", "c.input.query", F.lit("")))
+    out = calls.select("ref", "at", text.alias("text"), "c.input.project", "c.input.kind", F.col("c.input.source").alias("source_type"), "c.input.since", "c.input.until")
+    return out.where("text <> ''")

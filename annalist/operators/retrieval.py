@@ -175,17 +175,18 @@ def finalise(hits: DataFrame, as_of: str, limit: int, penalty: float = ARCHIVED_
     return _top(out.withColumnRenamed("rank", "place"), limit, "place", "entry_id").drop("place")
 
 
-def rerank(hits: DataFrame, as_of: str, k: int, floor: int | None = None, weights: dict[str, float] | None = None, recency_days: float = 180.0, recency_boost: float = 0.12) -> DataFrame:
+def rerank(hits: DataFrame, as_of: str, k: int, floor: int | None = None, weights: dict[str, float] | None = None, recency_days: float = 180.0, recency_boost: float = 0.12, share: float = SESSION_SHARE) -> DataFrame:
     """The k hits of each query for an answer's context: weight of the source and recency, one of each repeated event,
-    transcripts held to half of the window (or to what `floor` other hits leave) unless nothing else fills it."""
-    table = weights or SOURCE_WEIGHTS
+    transcripts held to a share of the window (or to what `floor` other hits leave) unless nothing else fills it. Without `weights` the usual
+    ones hold; an empty table weighs all sources alike."""
+    table = SOURCE_WEIGHTS if weights is None else weights
     weight: Column = F.lit(1.0)
     for name, w in table.items():
         weight = F.when(F.col("source_type") == name, F.lit(w)).otherwise(weight)
     scored = hits.withColumn("s", F.round(F.col("score") * weight * recency_factor(F.col("occurred_at"), F.lit(as_of).cast("timestamp"), recency_days, recency_boost), 9))
     same = Window.partitionBy("query_id", "project", "source_type", "title", "occurred_at").orderBy(F.desc("s"), "rank")
     once = scored.withColumn("n", F.row_number().over(same)).where("n = 1").drop("n")
-    cap = max(1, k - floor) if floor is not None else max(1, int(k * SESSION_SHARE))
+    cap = max(1, k - floor) if floor is not None else max(1, int(k * share))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "rank")
     talk = F.col("source_type") == "transcript"
     nth = F.sum(talk.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))

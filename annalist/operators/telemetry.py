@@ -172,6 +172,26 @@ def daily_complete(usage: DataFrame, first: str, last: str) -> DataFrame:
     )
 
 
+def hour_strip(usage: DataFrame) -> DataFrame:
+    """Calls of each of the 24 hours of the day, 0 where there were none."""
+    counts = usage.groupBy(F.hour("called_at").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    hours = usage.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    return hours.join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("calls"))
+
+
+def iso_weekdays(usage: DataFrame) -> DataFrame:
+    """Calls of each weekday, Monday being 1, 0 where there were none."""
+    counts = usage.groupBy((F.weekday("called_at") + 1).alias("weekday")).agg(F.count(F.lit(1)).alias("n"))
+    days = usage.sparkSession.range(1, 8).select(F.col("id").cast("int").alias("weekday"))
+    return days.join(counts, "weekday", "left").select("weekday", F.coalesce("n", F.lit(0)).alias("calls"))
+
+
+def next_cursor(page: DataFrame, size: int) -> DataFrame:
+    """(called_at, id) after which the next page of calls begins; no row where this page isn't full."""
+    last = page.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("called_at", "id")).alias("last"))
+    return last.where(F.col("n") >= size).select("last.called_at", "last.id")
+
+
 def prune(usage: DataFrame, reply: DataFrame, as_of: str, days: int) -> tuple[DataFrame, DataFrame]:
     """Calls not older than so many days, and the replies of those calls."""
     kept = usage.where(F.col("called_at") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
