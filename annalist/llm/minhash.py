@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from annalist.llm import wordhash
 from annalist.llm.components import connected_components
-from annalist.llm.shared import column, discard, settle, settle_counted
+from annalist.llm.shared import column, discard, in_slices, settle, settle_counted
 
 BANDS, ROWS, BITS = 24, 5, 2
 #: A pair is confirmed on full sets when its estimate is at most so many standard deviations below the threshold.
@@ -110,10 +110,11 @@ def _sketcher(width: int):
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, values.shape[1], 0))]).astype(np.int32)
                 return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[some].ravel()))
 
-            yield pa.RecordBatch.from_arrays(
+            whole = pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(packed), lists(bands)],
                 names=[*batch.schema.names, *(f.name for f in _SKETCH)],
             )
+            yield from in_slices(whole)
 
     return sketch
 

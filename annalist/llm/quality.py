@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist.llm import wordhash
-from annalist.llm.shared import column, settle
+from annalist.llm.shared import column, in_slices, settle
 
 VECTORS, DIM, NONZERO, REACH = 4096, 64, 4, 2
 SHAPES = 512  # of the VECTORS rows, the first SHAPES belong to shapes
@@ -207,7 +207,7 @@ def with_score(docs: DataFrame, vectors: np.ndarray, net: Network, text_column:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = net.probability(features(batch.column(text).cast(pa.string()), vectors).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
+            yield from in_slices(pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"]))
 
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     if not isinstance(kind, T.StringType):

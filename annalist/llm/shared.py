@@ -11,10 +11,15 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that a task gives back at once where it carries whole texts: the JVM holds each such batch outside its heap.
+ROWS_GIVEN = 1024
+
 _own_folder: str | None = None
 _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -78,3 +83,9 @@ def column(name: str) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(column(name).cast("string"), F.lit(""))
+
+
+def in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch`, ROWS_GIVEN at a time."""
+    for at in range(0, batch.num_rows, ROWS_GIVEN):
+        yield batch.slice(at, ROWS_GIVEN)
