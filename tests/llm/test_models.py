@@ -175,3 +175,15 @@ def test_mixing(spark):
     mixed = mix_sources(renamed, max_repetition=2.0, id_column="mix_epoch")
     assert sorted(mixed.columns) == sorted({*renamed.columns, "mix_tokens", "mix_weight", "mix_block", "mix_place"})
     assert mix_sources(renamed, max_repetition=2.0, id_column="mix_epoch", own_columns=False).columns == renamed.columns
+
+
+def test_slices_keep_all_rows():
+    import pyarrow as pa
+
+    from annalist.llm.shared import ROWS_GIVEN, in_slices
+
+    for rows in (0, 1, ROWS_GIVEN, 2 * ROWS_GIVEN + 5):
+        whole = pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int64()), pa.array([None, "x"] * (rows // 2) + [""] * (rows % 2), pa.string())], names=["n", "text"])
+        given = list(in_slices(whole))
+        assert all(0 < b.num_rows <= ROWS_GIVEN for b in given)
+        assert pa.Table.from_batches(given, whole.schema).equals(pa.Table.from_batches([whole]))
