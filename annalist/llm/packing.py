@@ -40,7 +40,8 @@ class WordEncoder:
     """
 
     _SPECIAL = "<|"
-    _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    #: A word a line: letters and the punctuation after them, or anything else.
+    _LINES = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.MULTILINE)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,19 +67,13 @@ class WordEncoder:
         return {w: data[at[i] : at[i + 1]] for i, w in enumerate(words)}
 
     def learn(self, words: set[bytes]) -> None:
-        split, letters = [], set()
-        for word in words:
-            text = word.decode()
-            parts = self._PLAIN.fullmatch(text)
-            if parts is None:
-                self.known[word] = self._ask(text)
-            else:
-                split.append((word, parts[1], parts[2]))
-                letters.add(parts[1])
-        ids = self._ask_letters(list(letters))
-        marks = {m: self._ask(m) if m else b"" for m in {m for _, _, m in split}}
-        for word, body, mark in split:
-            self.known[word] = ids[body] + marks[mark]
+        if not words:
+            return
+        ordered = list(words)
+        parts = self._LINES.findall(b"\n".join(ordered).decode())
+        ids = self._ask_letters(list({body for body, _, _ in parts if body}))
+        marks = {m: self._ask(m) if m else b"" for m in {m for _, m, _ in parts}}
+        self.known.update((word, self._ask(other) if other else ids[body] + marks[mark]) for word, (body, mark, other) in zip(ordered, parts, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         lists = [None if self._SPECIAL in t else t.encode().lower().split() for t in texts]
