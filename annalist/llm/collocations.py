@@ -2,19 +2,22 @@
 
 Texts are cut into pieces; identical pieces become one row with a multiplicity. Tasks count the n-grams of their pieces in
 DuckDB and send each hash bucket its counts as one sorted, front-coded Parquet file; a bucket's task lets DuckDB sum those files
-out of core and keeps what is frequent. A phrase is never more frequent than its parts, so all that a candidate needs is
-among the frequent ones: it asks for its parts by requests shuffled to where their counts are.
+out of core and keeps what is frequent. A phrase is never more frequent than its parts. So words and pairs are counted first, and longer
+phrases only where all pairs are frequent, as a bitmap of fixed size tells: pairs that share a bit are let through, none is
+lost. And all that a candidate needs is among the frequent ones: it asks for its parts by requests shuffled to where their counts are.
 """
 
 from __future__ import annotations
 
 import io
 import tempfile
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annalist.llm.shared import column, discard, settle, text_or_empty
+from annalist.llm.wordhash import hash_spans
 
 LEAST_COUNT = 30
 LONGEST = 4
@@ -32,8 +36,10 @@ COVER_PERCENT = 80
 SCORE_SCALE = 2_000_000
 #: Bytes of pieces whose n-grams a task counts at once, words of distinct pieces for each hash bucket, and DuckDB's memory in a task.
 PIECE_BYTES = 6_000_000
-WORDS_A_BUCKET = 8_000_000
+WORDS_A_BUCKET = 4_000_000
 TASK_MEMORY = "320MB"
+#: Bits of the bitmap of frequent pairs, whatever the input: 8 MB.
+PAIR_BITS = 1 << 26
 #: Parts a language's phrases are ranked in before the last ranking of at most `first` of each.
 RANK_PARTS = 16
 
@@ -72,10 +78,52 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _gram_counter(buckets: int, longest: int):
-    """(lang, piece, times) → (bucket, a Parquet file of lang, phrase and f), for each portion of pieces."""
+def _spots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Bits of the pairs that stand in `data` at [start, end), of languages with these codes."""
+    return ((hash_spans(data, starts, ends) ^ langs) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
+
+
+def _strings(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a column of strings."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    whole = pa.concat_arrays([c.cast(pa.large_string()) for c in chunks])
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = whole.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[: offsets[-1]] if data is not None else np.zeros(0, dtype=np.uint8), offsets
+
+
+def _lang_codes(langs: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    coded = pa.concat_arrays(langs.chunks).dictionary_encode() if isinstance(langs, pa.ChunkedArray) else langs.dictionary_encode()
+    codes = np.array([zlib.crc32(x.encode()) for x in coded.dictionary.to_pylist()], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C55)
+    return codes[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _stretches(pieces: pa.Table, pairs: np.ndarray) -> pa.Table:
+    """The stretches of three words or more whose neighbours are all frequent pairs, with the language and times of their piece."""
+    data, offsets = _strings(pieces.column("piece"))
+    row_starts, row_ends = offsets[:-1], offsets[1:]
+    blanks = np.flatnonzero(data == 32)
+    starts = np.sort(np.concatenate([row_starts, blanks + 1]))  # pieces aren't empty and begin and end with words
+    ends = np.sort(np.concatenate([row_ends, blanks]))
+    row = np.searchsorted(row_starts, starts, side="right") - 1
+    joined = np.flatnonzero(row[1:] == row[:-1])
+    spots = _spots(data, starts[joined], ends[joined + 1], _lang_codes(pieces.column("lang"))[row[joined]])
+    frequent = np.zeros(len(starts), dtype=bool)  # whether a word and the next are a frequent pair
+    frequent[joined] = (pairs[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], frequent, [False]]).astype(np.int8)))
+    first, last = edges[::2], edges[1::2]  # words of a run of frequent pairs
+    long = last - first > 1
+    first, last = first[long], last[long]
+    text = data.tobytes()
+    found = [text[a:b] for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)]
+    own = pa.array(row[first])
+    return pa.table({"lang": pieces.column("lang").take(own), "piece": pa.array(found, pa.binary()).cast(pa.string()), "times": pieces.column("times").take(own)})
+
+
+def _gram_counter(buckets: int, fewest: int, longest: int, pairs: np.ndarray | None):
+    """(lang, piece, times) → (bucket, a Parquet file of lang, phrase and f of `fewest` to `longest` words), for each portion of pieces."""
     words = ", ".join(f"unnest(words[{k}:]) AS w{k}" for k in range(1, longest + 1))
-    grams = ", ".join(" || ' ' || ".join(f"w{j}" for j in range(1, k + 1)) for k in range(1, longest + 1))
+    grams = ", ".join(" || ' ' || ".join(f"w{j}" for j in range(1, k + 1)) for k in range(fewest, longest + 1))
     sql = f"""
         WITH listed AS (SELECT lang, times, string_split(piece, ' ') AS words FROM pieces),
             placed AS (SELECT lang, times, {words} FROM listed),
@@ -92,7 +140,7 @@ def _gram_counter(buckets: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _database() as (db, _):
             for pieces in _portions(batches):
-                db.register("pieces", pieces)
+                db.register("pieces", pieces if pairs is None else _stretches(pieces, pairs))
                 held: list[pa.Table] = []
                 for batch in db.sql(sql).to_arrow_reader(200_000):  # in the order of buckets
                     runs = pc.run_end_encode(batch.column("bucket"))
@@ -111,7 +159,7 @@ def _gram_counter(buckets: int, longest: int):
 
 
 def _gram_summer(least: int):
-    """Parquet files of one or several buckets → lang, phrase, f of all that reach `least`."""
+    """Parquet files of one or several buckets → lang, phrase, f of all that reach `least`, and their bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _database() as (db, folder):
@@ -122,15 +170,37 @@ def _gram_summer(least: int):
                     files += 1
             if files:
                 sums = f"SELECT lang, phrase, sum(f)::BIGINT AS f FROM read_parquet('{folder}/*.parquet') GROUP BY lang, phrase HAVING sum(f) >= {least}"
-                yield from db.sql(sums).to_arrow_reader(50_000)
+                for found in db.sql(sums).to_arrow_reader(50_000):
+                    data, offsets = _strings(found.column("phrase"))
+                    spots = _spots(data, offsets[:-1], offsets[1:], _lang_codes(found.column("lang")))
+                    yield pa.RecordBatch.from_arrays([*found.columns, pa.array(spots)], names=["lang", "phrase", "f", "spot"])
 
     return run
 
 
+def _pair_bitmap(counts: DataFrame) -> np.ndarray:
+    """The bits of all frequent pairs: at most PAIR_BITS, in parts of 32,768."""
+    spot = F.col("spot") + 1  # the functions number from 1
+    parts = counts.where(F.size(F.split("phrase", " ")) == 2).groupBy(F.bitmap_bucket_number(spot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+    bits = np.zeros(PAIR_BITS // 8, dtype=np.uint8)
+    for part, found in parts.collect():
+        at = (part - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(found, dtype=np.uint8)
+    return bits
+
+
 def count_phrases(pieces: DataFrame, buckets: int, least: int = LEAST_COUNT, longest: int = LONGEST) -> DataFrame:
-    """(lang, piece, times) → (lang, phrase, f) of all phrases of at most `longest` words with f >= `least`."""
-    files = pieces.select("lang", "piece", "times").mapInArrow(_gram_counter(buckets, longest), "bucket int, grams binary")
-    return files.repartitionById(buckets, F.col("bucket")).mapInArrow(_gram_summer(least), "lang string, phrase string, f long")
+    """(lang, piece, times) → a table of lang, phrase and f of all phrases of at most `longest` words with f >= `least`."""
+
+    def counted(fewest: int, longest: int, pairs: np.ndarray | None) -> DataFrame:
+        files = pieces.select("lang", "piece", "times").mapInArrow(_gram_counter(buckets, fewest, longest, pairs), "bucket int, grams binary")
+        sums = files.repartitionById(buckets, F.col("bucket")).mapInArrow(_gram_summer(least), "lang string, phrase string, f long, spot long")
+        return settle(sums, f"phrase-counts-{longest}")
+
+    short = counted(1, min(longest, 2), None)
+    if longest < 3:
+        return short.drop("spot")
+    return short.unionByName(counted(3, longest, _pair_bitmap(short))).drop("spot")
 
 
 def _join_words(words: Column, first: Column | int, n: Column) -> Column:
@@ -200,7 +270,7 @@ def mine_phrases(
     )
     distinct = totals.agg(F.sum("distinct_words")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct // WORDS_A_BUCKET))
-    counts = settle(count_phrases(pieces, buckets, least, longest), "phrase-counts")
+    counts = count_phrases(pieces, buckets, least, longest)
     discard(pieces)
     kept = drop_covered(score_phrases(counts, longest), counts, longest, cover_percent)
 
