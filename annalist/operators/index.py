@@ -1,95 +1,113 @@
-"""A stored search index: points, postings by term, document frequencies and entry tokens, as tables under one folder.
+"""A stored search index: points, postings by term, document frequencies and entry tokens, as tables of segments under one folder.
 
-Built once from the entries; searches read the parts that their terms lie in. Postings are partitioned by a bucket of
-the term and sorted by it, so a few terms touch a few partitions and, inside, a few row groups. `upsert` replaces the points of given
-entries; postings carry a version, and a search takes an entry's newest one.
+A build writes one segment; an upsert writes another, with the ids it replaces and what it changes in the document frequencies, so its work
+follows the batch. A manifest names the segments that count; it is written last, under a name that only one writer can take. So what
+a lost writer leaves is never seen, and an open index keeps reading the segments it was opened with. `merge` folds the segments
+into one, `vacuum` deletes those that no kept manifest names.
+
+Postings are partitioned by a bucket of the term and sorted by it, points are ranged by entry: a few terms or entries touch few row groups.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annalist.functions.text import tokenize
 from annalist.operators import retrieval as rt
+from annalist.storage import delete, names_in, read_text, write_new
 
 #: Partitions of postings unless named at the build; a large corpus wants as many as make one about a gigabyte.
 BUCKETS = 16
-#: Terms of at most so many rows prune partitions by name; larger batches read the whole table.
+#: Terms or ids of at most so many rows prune by value; larger batches read all that their bounds allow.
 FEW_TERMS = 10_000
 
+_FACTS = "entry_id long, project string, source_type string, component string, kind string, doc_status string, occurred_at timestamp"
+_SCHEMAS = {
+    "points": f"{_FACTS}, seq int, chunk string, segment int",
+    "postings": f"{_FACTS}, seq int, segment int, term long, weight double, bucket int",
+    "words": f"{_FACTS}, segment int, token string, bucket int",
+    "ids": "entry_id long, chunks long, removed boolean, segment int",
+    "frequencies": "term long, df long, bucket int",
+}
+
 
 class SearchIndex:
-    """The tables under `path`: points, postings (of chunks), words (distinct tokens of whole entries)."""
+    """The index at `path`, as its newest manifest has it: points, postings (of chunks), words (distinct tokens of whole entries)."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        """Open the index at `path`; `buckets` only where it is about to be built."""
+    def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = buckets or spark.read.parquet(f"{self.path}/size").first()["buckets"]
-
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(term, F.lit(self.buckets)).cast("int")
-
-    def _write(self, entries: DataFrame, version: int, mode: str) -> None:
-        points = rt.points(entries).withColumn("version", F.lit(version))
-        points.write.mode(mode).parquet(f"{self.path}/points")
-        stored = self.spark.read.parquet(f"{self.path}/points").where(F.col("version") == version)
-        facts = [c for c in stored.columns if c != "chunk"]
-        # the filters' columns go with each posting, so a filtered search joins nothing
-        tokens = stored.select(*facts, F.explode(tokenize(F.col("chunk"))).alias("token")).groupBy(*facts, "token").count()
-        postings = tokens.select(*facts, rt.fnv1a(F.col("token")).alias("term"), rt.term_weight(F.col("count")).alias("weight")).withColumn("bucket", self._bucket(F.col("term")))
-        # a bucket of a frequent term is dealt over as many tasks as it needs
-        postings.repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
-        words = entries.select(F.col("id").alias("entry_id"), F.explode(F.array_distinct(tokenize(F.concat("title", F.lit(" "), "body")))).alias("token"))
-        words = words.withColumn("version", F.lit(version)).withColumn("bucket", self._bucket(F.crc32("token")))
-        words.repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(4))).sortWithinPartitions("bucket", "token").write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/words")
-        alive = self.points()
-        df = self._newest(self.spark.read.parquet(f"{self.path}/postings"))
-        df.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{self.path}/frequencies")
-        alive.agg(F.count(F.lit(1)).alias("n"), F.lit(self.buckets).alias("buckets")).write.mode("overwrite").parquet(f"{self.path}/size")
+        self.refresh()
+
+    @property
+    def buckets(self) -> int:
+        return self.manifest["buckets"]
+
+    def refresh(self) -> None:
+        """Read the newest manifest: what other writers have published since."""
+        versions = sorted(n for n in names_in(self.spark, f"{self.path}/manifest") if n.endswith(".json"))
+        if not versions:
+            raise FileNotFoundError(f"no index is published at {self.path}")
+        self.manifest = json.loads(read_text(self.spark, f"{self.path}/manifest/{versions[-1]}"))
+
+    @staticmethod
+    def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
+        """Swap in a manifest; FileExistsError if another writer has published this version."""
+        write_new(spark, f"{path}/manifest/{manifest['version']:012d}.json", json.dumps(manifest))
 
     @classmethod
     def build(cls, entries: DataFrame, path: str, buckets: int = BUCKETS) -> SearchIndex:
-        index = cls(entries.sparkSession, path, buckets)
-        index._write(entries, 0, "overwrite")
-        return index
-
-    def _versions(self) -> DataFrame | None:
-        """(entry_id, newest) of entries that were replaced; none in an index as built."""
-        points = self.spark.read.parquet(f"{self.path}/points")
-        if points.where("version > 0").isEmpty():
-            return None
-        return points.groupBy("entry_id").agg(F.max("version").alias("newest")).where("newest > 0")
-
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        newest = self._versions()
-        if newest is None:
+        """Index `entries` under `path`; an index that is there already is replaced when this one is complete."""
+        spark, path = entries.sparkSession, path.rstrip("/")
+        versions = sorted(n for n in names_in(spark, f"{path}/manifest") if n.endswith(".json"))
+        version = int(versions[-1].split(".")[0]) + 1 if versions else 0
+        name, added = _write_segment(spark, path, entries, version, buckets, None)
+        cls._publish(spark, path, {"version": version, "buckets": buckets, "points": added, "segments": [[name, version]]})
+        return cls(spark, path)
+
+    # reading
+
+    def _table(self, table: str, segments: list[list]) -> DataFrame:
+        schema = T._parse_datatype_string(_SCHEMAS[table])
+        paths = [f"{_folder(self.path, name)}/table={table}" for name, _ in segments]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/segments").parquet(*paths).select(*schema.fieldNames())
+
+    def _current(self, rows: DataFrame) -> DataFrame:
+        """Rows of each entry's newest segment. Only the ids of upserts are read, not those of the first segment."""
+        later = self.manifest["segments"][1:]
+        if not later:
             return rows
-        return rows.join(newest, "entry_id", "left").where(F.col("version") == F.coalesce("newest", F.lit(0))).drop("newest")
-
-    def upsert(self, entries: DataFrame) -> None:
-        """Points of `entries` replace those of the same ids; running it twice gives the same index."""
-        last = self.spark.read.parquet(f"{self.path}/points").agg(F.max("version").alias("v")).first()["v"] or 0
-        self._write(entries, last + 1, "append")
+        newest = self._table("ids", later).groupBy("entry_id").agg(F.max("segment").alias("newest"))
+        return rows.join(newest, "entry_id", "left").where(F.col("newest").isNull() | (F.col("segment") >= F.col("newest"))).drop("newest")
 
     def points(self) -> DataFrame:
         """The current points, without order."""
-        return self._newest(self.spark.read.parquet(f"{self.path}/points"))
+        return self._current(self._table("points", self.manifest["segments"]))
+
+    def coverage(self) -> DataFrame:
+        """entry_id and chunks of all entries that are wholly indexed; those without chunks too."""
+        return self._current(self._table("ids", self.manifest["segments"])).where("NOT removed").select("entry_id", "chunks")
 
     def scroll(self, size: int, after: tuple[int, int] | None = None) -> DataFrame:
-        """A page of points by (entry_id, seq), beginning behind `after`."""
-        rows = self.points()
+        """A page of points by (entry_id, seq), beginning behind `after`. The slim table of ids tells where it ends, so chunks of other pages aren't read."""
+        start = after[0] if after else None
+        ahead = self.coverage().where("chunks > 0")
+        ahead = ahead if start is None else ahead.where(F.col("entry_id") >= start)
+        # `size` entries behind the one that `after` names hold a page at least
+        last = ahead.orderBy("entry_id").select("entry_id").limit(size + 1).agg(F.max("entry_id").alias("m")).first()["m"]
+        rows = self.points().where(F.col("entry_id") <= (last if last is not None else -1))
         if after is not None:
-            rows = rows.where((F.col("entry_id") > after[0]) | ((F.col("entry_id") == after[0]) & (F.col("seq") > after[1])))
+            rows = rows.where((F.col("entry_id") >= start) & ((F.col("entry_id") > start) | (F.col("seq") > after[1])))
         return rows.orderBy("entry_id", "seq").limit(size)
 
     def _read(self, table: str, buckets: set[int] | None) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/{table}")
-        if buckets is not None and len(buckets) < self.buckets:
-            rows = rows.where(F.col("bucket").isin(sorted(buckets)))
-        return self._newest(rows)
+        rows = self._table(table, self.manifest["segments"])
+        return rows if buckets is None or len(buckets) >= self.buckets else rows.where(F.col("bucket").isin(sorted(buckets)))
 
     @staticmethod
     def _asked_buckets(terms: DataFrame, name: str, of: Column) -> set[int] | None:
@@ -99,22 +117,135 @@ class SearchIndex:
     def sparse_search(self, queries: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
         """As `retrieval.sparse_search` over the stored postings; `where` filters on the points' columns before ranking."""
         asked = rt.query_terms(queries)
-        postings = self._read("postings", self._asked_buckets(asked, "term", self._bucket(F.col("term"))))
+        buckets = self._asked_buckets(asked, "term", _bucket(F.col("term"), self.buckets))
+        postings = self._current(self._read("postings", buckets))
         if where is not None:
             postings = postings.where(where)
-        size = self.spark.read.parquet(f"{self.path}/size")
-        weights = self.spark.read.parquet(f"{self.path}/frequencies").crossJoin(F.broadcast(size)).select(
-            "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-        )
+        df = self._read("frequencies", buckets).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        n = F.lit(self.manifest["points"])
+        weights = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
         return rt.sparse_search(queries, postings, weights, limit)
 
-    def fts_search(self, queries: DataFrame, limit: int) -> DataFrame:
+    def fts_search(self, queries: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
         """As `retrieval.fts_search` over the stored tokens of entries."""
         asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
-        words = self._read("words", self._asked_buckets(asked, "token", self._bucket(F.crc32("token"))))
+        words = self._current(self._read("words", self._asked_buckets(asked, "token", _bucket(F.crc32("token"), self.buckets))))
+        if where is not None:
+            words = words.where(where)
         scored = words.join(asked, "token").groupBy("query_id", "entry_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
         return rt._top(scored, limit, "entry_id")
 
+    # writing
+
+    def _held(self, ids: DataFrame) -> DataFrame:
+        """The current points of these entries, read from the row groups that their bounds or values meet."""
+        some = [r["entry_id"] for r in ids.limit(FEW_TERMS + 1).collect()]
+        rows = self.points()
+        if len(some) <= FEW_TERMS:
+            return rows.where(F.col("entry_id").isin(some))
+        low, high = ids.agg(F.min("entry_id"), F.max("entry_id")).first()
+        return rows.where(F.col("entry_id").between(low, high)).join(ids, "entry_id", "left_semi")
+
+    def upsert(self, entries: DataFrame) -> None:
+        """Points of `entries` replace those of the same ids, all at once; an entry without text leaves none. Running it twice gives the same index."""
+        self._append(entries, self._held(entries.select(F.col("id").alias("entry_id"))), None)
+
+    def remove(self, ids: DataFrame) -> None:
+        """Entries `ids(entry_id)` leave the index."""
+        nothing = self.points().limit(0).select(F.col("entry_id").alias("id"), *_fact_names()[1:], F.lit("").alias("title"), F.lit("").alias("body"))
+        self._append(nothing, self._held(ids), ids)
+
+    def _append(self, entries: DataFrame, held: DataFrame, removed: DataFrame | None) -> None:
+        version = self.manifest["version"] + 1
+        name, change = _write_segment(self.spark, self.path, entries, version, self.buckets, held, removed)
+        manifest = self.manifest | {"version": version, "points": self.manifest["points"] + change, "segments": [*self.manifest["segments"], [name, version]]}
+        self._publish(self.spark, self.path, manifest)
+        self.manifest = manifest
+
+    def merge(self) -> None:
+        """Fold all segments into one; searches give what they gave before."""
+        version, name = self.manifest["version"] + 1, uuid.uuid4().hex
+        folder, segments = _folder(self.path, name), self.manifest["segments"]
+        at = F.lit(version).alias("segment")
+        points = self.points().withColumn("segment", at)
+        points.repartitionByRange(self.buckets, "entry_id").sortWithinPartitions("entry_id", "seq").write.parquet(f"{folder}/table=points")
+        for table, order in (("postings", "term"), ("words", "token")):
+            _write_buckets(self._current(self._table(table, segments)).withColumn("segment", at), f"{folder}/table={table}", order)
+        df = self._table("frequencies", segments).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0")
+        _write_frequencies(df, folder)
+        self.coverage().withColumns({"removed": F.lit(False), "segment": at}).write.parquet(f"{folder}/table=ids")
+        manifest = self.manifest | {"version": version, "segments": [[name, version]]}
+        self._publish(self.spark, self.path, manifest)
+        self.manifest = manifest
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete manifests before the newest `keep`, and segments that none of those names. Not while another writer is at work."""
+        manifests = sorted(n for n in names_in(self.spark, f"{self.path}/manifest") if n.endswith(".json"))
+        kept = manifests[-max(1, keep) :]
+        named = {s for m in kept for s, _ in json.loads(read_text(self.spark, f"{self.path}/manifest/{m}"))["segments"]}
+        for m in manifests[: -len(kept)]:
+            delete(self.spark, f"{self.path}/manifest/{m}")
+        for s in names_in(self.spark, f"{self.path}/segments"):
+            if s.removeprefix("name=") not in named:
+                delete(self.spark, f"{self.path}/segments/{s}")
+
+
+def _folder(path: str, name: str) -> str:
+    return f"{path}/segments/name={name}"
+
+
+def _fact_names() -> list[str]:
+    return T._parse_datatype_string(_FACTS).fieldNames()
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(term, F.lit(buckets)).cast("int")
+
+
+def _write_buckets(rows: DataFrame, path: str, order: str) -> None:
+    """By bucket, sorted; a bucket of a frequent term is dealt over as many tasks as it needs."""
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(4))).sortWithinPartitions("bucket", order)
+    dealt.write.partitionBy("bucket").parquet(path)
+
+
+def _write_frequencies(df: DataFrame, folder: str) -> None:
+    df.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/table=frequencies")
+
+
+def _terms(points: DataFrame) -> DataFrame:
+    """The distinct tokens of each point with the filters' columns, so a filtered search joins nothing: term and weight."""
+    facts = [c for c in points.columns if c != "chunk"]
+    tokens = points.select(*facts, F.explode(tokenize(F.col("chunk"))).alias("token")).groupBy(*facts, "token").count()
+    return tokens.select(*facts, rt.fnv1a(F.col("token")).alias("term"), rt.term_weight(F.col("count")).alias("weight"))
+
+
+def _write_segment(spark: SparkSession, path: str, entries: DataFrame, version: int, buckets: int, held: DataFrame | None, removed: DataFrame | None = None) -> tuple[str, int]:
+    """A segment of `entries`, which replaces the points `held` (none in a first one): its name, and how many points there are more."""
+    name = uuid.uuid4().hex
+    folder, at = _folder(path, name), F.lit(version).alias("segment")
+    ranged = entries.repartitionByRange(buckets, "id").sortWithinPartitions("id")  # ranges are drawn from ids alone, before any text is cut
+    rt.points(ranged).withColumn("segment", at).write.parquet(f"{folder}/table=points")
+    points = spark.read.schema(_SCHEMAS["points"]).parquet(f"{folder}/table=points")
+    _write_buckets(_terms(points).withColumn("bucket", _bucket(F.col("term"), buckets)), f"{folder}/table=postings", "term")
+    facts = entries.withColumnRenamed("id", "entry_id")
+    words = facts.select(*_fact_names(), at, F.explode(F.array_distinct(tokenize(F.concat("title", F.lit(" "), "body")))).alias("token"))
+    _write_buckets(words.withColumn("bucket", _bucket(F.crc32("token"), buckets)), f"{folder}/table=words", "token")
+
+    chunks = points.groupBy("entry_id").agg(F.count(F.lit(1)).alias("chunks"))
+    ids = facts.select("entry_id").join(chunks, "entry_id", "left").select("entry_id", F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"), F.lit(False).alias("removed"), at)
+    if removed is not None:
+        ids = ids.unionByName(removed.select("entry_id", F.lit(0).cast("long").alias("chunks"), F.lit(True).alias("removed"), at))
+    ids.write.parquet(f"{folder}/table=ids")
+
+    added = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{folder}/table=postings").select("term", F.lit(1).alias("n"))
+    gone = 0
+    if held is not None:
+        gone = held.count()
+        added = added.unionByName(_terms(held).select("term", F.lit(-1).alias("n")))
+    df = added.groupBy("term").agg(F.sum("n").alias("df")).where("df <> 0").withColumn("bucket", _bucket(F.col("term"), buckets))
+    _write_frequencies(df, folder)
+    return name, points.count() - gone
+
 
 def search(index: SearchIndex, queries: DataFrame, limit: int, dense: DataFrame | None = None, where: Column | None = None) -> DataFrame:
     """Hits of the keyword branch, fused with those of a dense one if given, each ranked from 0 by query."""

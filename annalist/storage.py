@@ -32,3 +32,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/annalist-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    place, files = _at(spark, folder)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that readers see whole or not at all; FileExistsError if its name is taken."""
+    folder, name = path.rsplit("/", 1)
+    draft, files = _at(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    place, _ = _at(spark, path)
+    out = files.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, place, options)
+    except Exception as error:
+        files.delete(draft, False)
+        if "FileAlreadyExists" in str(error):
+            raise FileExistsError(path) from error
+        raise
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, files = _at(spark, path)
+    files.delete(place, True)
