@@ -19,6 +19,8 @@ from annalist.operators import catalog as cat
 from annalist.operators import retrieval as rt
 from annalist.operators import telemetry as tel
 from annalist.operators.catalog import Filters
+from annalist.operators.dense_index import DenseIndex
+from annalist.operators.index import SearchIndex
 
 SEARCH_MOST, ASK_MOST, EVIDENCE_MOST, TIMELINE_MOST, DAYS_MOST = 100, 30, 20, 200, 365
 REASON_MOST = 200
@@ -48,6 +50,9 @@ class Engine:
     backlog_lines: DataFrame | None = None
     verdicts: DataFrame | None = None
     as_of: str = "2024-01-31 00:00:00"
+    #: Stored indexes of the entries and of their vectors; without them a search makes its postings anew and scans all vectors.
+    index: SearchIndex | None = None
+    dense_index: DenseIndex | None = None
 
     def _known(self, slug: str) -> str:
         if self.projects.where(F.col("slug") == slug).isEmpty():
@@ -75,14 +80,15 @@ class Engine:
         limit = clamp(limit, 1, SEARCH_MOST)
         fetch = min(2 * limit, SEARCH_MOST)
         branch = max(3 * fetch, 30)
-        rows = self.entries.where(self._widened(filters).column())
+        narrowed = self._widened(filters)
+        rows = self.entries.where(narrowed.column())
         reason, chain = None, ("hybrid", "sparse-only", "fts")
         for taken in chain[chain.index(mode) :]:
-            if taken == "hybrid" and (self.vectors is None or "embedding" not in queries.columns):
+            if taken == "hybrid" and ((self.vectors is None and self.dense_index is None) or "embedding" not in queries.columns):
                 reason = "no vectors"
                 continue
             try:
-                hits = self._hits(taken, queries, rows, branch, fetch)
+                hits = self._hits(taken, queries, rows, narrowed, branch, fetch)
                 break
             except Exception as failure:  # the caller reads why in `reason`
                 if taken == "fts":
@@ -91,17 +97,29 @@ class Engine:
         out = rt.finalise(rt.hydrate(hits, rows), self.as_of, limit)
         return out.withColumns({"mode": F.lit(taken), "degraded": F.lit(taken != mode), "reason": F.lit(reason).cast("string")})
 
-    def _hits(self, mode: str, queries: DataFrame, rows: DataFrame, branch: int, fetch: int) -> DataFrame:
+    def _hits(self, mode: str, queries: DataFrame, rows: DataFrame, filters: Filters, branch: int, fetch: int) -> DataFrame:
+        # entries of the index are those of the table; their columns for filters stand beside each posting, so no entry is read here
+        where = None if filters == Filters() else filters.column()
         if mode == "fts":
-            return rt.fts_search(queries, rows, fetch)
-        everything = rt.points(self.entries)
-        weights = rt.idf(rt.postings(everything), everything)
-        branches = [rt.sparse_search(queries, rt.postings(rt.points(rows)), weights, branch)]
+            return self.index.fts_search(queries, fetch, where) if self.index else rt.fts_search(queries, rows, fetch)
+        if self.index:
+            branches = [self.index.sparse_search(queries, branch, where)]
+        else:
+            everything = rt.points(self.entries)
+            weights = rt.idf(rt.postings(everything), everything)
+            branches = [rt.sparse_search(queries, rt.postings(rt.points(rows)), weights, branch)]
         if mode == "hybrid":
-            near = self.vectors.join(rows.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
-            branches.append(rt.dense_search(queries, near, branch).withColumn("seq", F.lit(0)))
+            branches.append(self._near(queries, rows, where is not None, branch).withColumn("seq", F.lit(0)))
         return rt.fuse(branches, fetch)
 
+    def _near(self, queries: DataFrame, rows: DataFrame, filtered: bool, limit: int) -> DataFrame:
+        """Hits by vectors: of the stored index where there is one and no filter, which has to hold before ranking; else of a scan."""
+        if self.dense_index and not filtered:
+            return self.dense_index.search(queries, limit)
+        if self.vectors is None:
+            raise ValueError("a filtered search by vectors needs the table of vectors")
+        return rt.dense_search(queries, self.vectors.join(rows.select(F.col("id").alias("entry_id")), "entry_id", "left_semi"), limit)
+
     def context(self, queries: DataFrame, filters: Filters = Filters(), k: int = 12) -> DataFrame:
         """Hits for an answer: searched, topped up with explaining sources, reranked. A scoped question without any hit is
         asked again of all projects, told by `widened`."""

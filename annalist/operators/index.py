@@ -223,6 +223,7 @@ def _write_segment(spark: SparkSession, path: str, entries: DataFrame, version:
     """A segment of `entries`, which replaces the points `held` (none in a first one): its name, and how many points there are more."""
     name = uuid.uuid4().hex
     folder, at = _folder(path, name), F.lit(version).alias("segment")
+    entries = entries.withColumn("id", F.col("id").cast("long"))
     ranged = entries.repartitionByRange(buckets, "id").sortWithinPartitions("id")  # ranges are drawn from ids alone, before any text is cut
     rt.points(ranged).withColumn("segment", at).write.parquet(f"{folder}/table=points")
     points = spark.read.schema(_SCHEMAS["points"]).parquet(f"{folder}/table=points")

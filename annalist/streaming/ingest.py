@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from annalist.functions.text import dedup_key
 from annalist.operators.catalog import new_entries
+from annalist.sources.tail import register
 
 
 def with_key(entries: DataFrame) -> DataFrame:
@@ -44,6 +45,18 @@ def ingest_stream(
     return writer.start()
 
 
+def tail_stream(
+    spark: SparkSession, folder: str, entries_of: Callable[[DataFrame], DataFrame], table_path: str, checkpoint: str, every: str | None = None, pattern: str = "*"
+) -> StreamingQuery:
+    """Start ingesting lines appended to files in `folder`; `entries_of` makes entries of (path, byte_offset, value). Without `every` it
+    takes what is there and ends. Replays after a lost driver are harmless: an entry of the same key is written once."""
+    register(spark)
+    lines = spark.readStream.format("tail").option("pattern", pattern).load(folder)
+    writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: append_new(entries_of(batch), table_path))
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def tumbling_usage(calls: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Calls a window and client, of a stream with `called_at`; rows later than `late` are left out."""
     return calls.withWatermark("called_at", late).groupBy(F.window("called_at", width), "client").agg(F.count(F.lit(1)).alias("calls"))

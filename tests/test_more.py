@@ -136,6 +136,29 @@ def test_engine_search(spark, engine):
     assert {h.entry_id for h in engine.search(q, mode="fts", limit=30).collect()} >= {7}
 
 
+def test_engine_with_stored_indexes(spark, engine, tmp_path):
+    from dataclasses import replace
+
+    from annalist.operators.dense_index import DenseIndex
+    from annalist.operators.index import SearchIndex
+
+    stored = replace(engine, index=SearchIndex.build(engine.entries, f"file://{tmp_path}/index", buckets=2))
+    q = spark.createDataFrame([(1, "worker pool number7", [7.0, 1.0]), (2, "zzz nothing", None)], "query_id int, text string, embedding array<double>")
+    found = lambda e, *a, **k: sorted((r.query_id, r["rank"], r.entry_id, round(r.score, 9), r.mode) for r in e.search(q, *a, **k).collect())
+    beta = Filters(projects=("beta",), source_types=("doc", "commit"), since="2024-01-03")
+    for arguments in ((Filters(), 5, "sparse-only"), (beta, 5, "sparse-only"), (beta, 9, "fts")):
+        assert found(stored, *arguments) == found(engine, *arguments) != []
+    # the plan of keyword hits reads stored tables only, not the entries
+    plan = stored._hits("sparse-only", q, None, beta, 30, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan.lower()
+    vectors = engine.entries.select(F.col("id").cast("long").alias("entry_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    near = replace(stored, dense_index=DenseIndex.build(vectors, f"file://{tmp_path}/dense"))
+    one = q.where("query_id = 1")
+    got, want = (sorted((r["rank"], r.entry_id, r.mode) for r in e.search(one, limit=5).collect()) for e in (near, replace(stored, vectors=vectors)))
+    assert got == want and got[0][1:] == (7, "hybrid")
+    assert {r.mode for r in near.search(one, beta, 5).collect()} == {"sparse-only"}
+
+
 def test_engine_context_and_ask(spark, engine):
     q = spark.createDataFrame([(1, "worker pool number8")], "query_id int, text string")
     got = engine.context(q, Filters(projects=("empty",)), 4).collect()
