@@ -22,12 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.shared import new_path, settle
+from annalist.llm.shared import column, new_path, settle
 
 _CRLF = "\r\n"
 _END = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _URN = "urn:annalist:page:"
+#: The year whose seconds stand for times where pages have none, and the seconds of dates that four digits can write.
+FIRST_SECOND, SECONDS = 1704067200, 366 * 86400
+DATED = (-62135510400, 253402214400)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 4096
 
@@ -69,13 +72,18 @@ def write_archives(
 
     Of rows with equal payloads of at least `least_revisit_bytes` bytes, the one with the largest id is a response and
     the others are revisits of it; a repeated row with that largest id is a response again, as is every row without an
-    id in a group that has none. Without `time_column` a page's time is its id in seconds after 2024-01-01 UTC.
+    id in a group that has none. Without `time_column`, and where its time is null or outside the years 1 to 9999, a page's time is the
+    second of 2024 (UTC) that its id falls on, counted round and round the year; a null id counts as 0. Ids are any 64-bit numbers. Other columns are not
+    read, whatever their names. An empty table leaves a folder without records.
     """
-    when = F.col(time_column).cast("timestamp") if time_column else F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col(id_column), F.lit(0)))
+    when = F.timestamp_seconds(F.lit(FIRST_SECOND) + F.pmod(F.coalesce(column(id_column).cast("long"), F.lit(0)), F.lit(SECONDS)))
+    if time_column:
+        given = column(time_column).cast("timestamp")
+        when = F.coalesce(F.when(F.unix_seconds(given).between(*DATED), given), when)
     rows = pages.select(
-        F.col(id_column).cast("long").alias("page_id"),
-        F.regexp_replace(F.coalesce(F.col(url_column), F.lit("")), r"[\x00-\x20\x7f]", "").alias("url"),
-        F.coalesce(F.col(html_column), F.lit("")).alias("payload"),
+        column(id_column).cast("long").alias("page_id"),
+        F.regexp_replace(F.coalesce(column(url_column), F.lit("")), r"[\x00-\x20\x7f]", "").alias("url"),
+        F.coalesce(column(html_column), F.lit("")).alias("payload"),
         when.alias("captured_at"),
     ).withColumn("digest", F.sha1("payload"))
     held = settle(rows.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies")), "payloads")

@@ -60,6 +60,19 @@ def test_least_revisit_bytes_and_empty(spark, pages, tmp_path):
     assert archive_pages(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_ids_and_times_of_any_size(spark):
+    ids = [2**62, -7 * 10**10, 251_698_233_600, 10**12, -(2**63), 2**63 - 1, 0, None]
+    times = ["+10000-01-01 00:00:00", "0001-01-01 00:00:00", "9999-12-31 23:00:00", None, "1970-01-01 00:00:00", "2024-05-06 07:08:09", "-0005-01-01 00:00:00", "0002-02-03 04:05:06"]
+    pages = spark.createDataFrame([(i, "http://a.example/x", f"<p>{i}</p>", t, "n") for i, t in zip(ids, times, strict=True)], "`my.id` long, url string, html string, at string, payload string")
+    got = archive_pages(pages.withColumn("at", F.expr("try_cast(at AS timestamp)")), id_column="my.id").collect()
+    assert sorted((str(r.page_id), r.record_type, r.payload_bytes) for r in got) == sorted((str(i), "response", len(f"<p>{i}</p>")) for i in ids)
+    assert {r.captured_at.year for r in got} == {2024}
+    timed = archive_pages(pages.withColumn("at", F.expr("try_cast(at AS timestamp)")), id_column="my.id", time_column="at").collect()
+    at = {r.page_id: r.captured_at.replace(tzinfo=None).isoformat() for r in timed}
+    assert len(timed) == 8 and at[2**63 - 1] == "2024-05-06T07:08:09" and at[-(2**63)] == "1970-01-01T00:00:00" and at[None] == "0002-02-03T04:05:06"
+    assert all(at[i].startswith("2024-") for i in (2**62, 10**12, 0))
+
+
 def test_damaged_archive_raises():
     with pytest.raises(ValueError):
         list(parse_records(io.BytesIO(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort")))
