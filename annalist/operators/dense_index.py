@@ -1,8 +1,9 @@
 """A stored index of vectors: cells around centroids, a byte a component, and full vectors to score what the bytes find.
 
 The centroids are fitted on a bounded sample; every vector then joins its nearest cell. A search probes the cells nearest to each query, ranks
-their vectors by bytes, and scores the best of them again from the full vectors, which are read by cell and id. The index can be
-opened only when its last file is in.
+their vectors by bytes, and scores the best of them again from the full vectors, which are read by cell and id. How many cells are
+probed is measured at the build: as many as hold RECALL of the true neighbours of a sample of vectors. Vectors without groups
+need most cells, grouped ones few. The index can be opened only when its last file is in.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from annalist.storage import names_in, read_text, write_new, written
 #: Vectors that a cell is meant to hold, most cells, and most vectors the centroids are fitted on.
 CELL_ROWS, MOST_CELLS, SAMPLE_ROWS = 1024, 4096, 65_536
 ROUNDS = 8
-#: Cells probed for a query, and how many times the limit is scored in full.
-PROBES, OVERSAMPLE = 12, 4
+#: How many times the limit is scored in full.
+OVERSAMPLE = 4
+#: Share of true neighbours that the probed cells are to hold, and how many vectors it is measured with, by the scan of all.
+RECALL, MEASURED, NEIGHBOURS = 0.995, 256, 10
 #: Parts that a cell's vectors are dealt over when written, so that a cell with very many isn't one task.
 SALT = 4
 
@@ -75,6 +78,7 @@ class DenseIndex:
         meta = json.loads(read_text(spark, f"{self.path}/index.json"))
         self.table = meta["table"]
         self.centroids = np.array(meta["centroids"], dtype=np.float32)
+        self.probes = meta["probes"]
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS) -> DenseIndex:
@@ -89,16 +93,18 @@ class DenseIndex:
         found = rows.mapInPandas(_assigner(centroids), "cell int, entry_id long, code binary, scale float, embedding array<double>")
         dealt = found.repartition("cell", F.pmod(F.xxhash64("entry_id"), F.lit(SALT))).sortWithinPartitions("cell", "entry_id")
         dealt.write.partitionBy("cell").parquet(f"{path}/{table}")
-        write_new(spark, f"{path}/index.json", json.dumps({"table": table, "centroids": centroids.tolist()}))
+        probes = _probes_needed(spark.read.parquet(f"{path}/{table}"), centroids) if sample else 1
+        write_new(spark, f"{path}/index.json", json.dumps({"table": table, "centroids": centroids.tolist(), "probes": probes}))
         return cls(spark, path)
 
     def _rows(self, cells: list[int]) -> DataFrame:
         schema = "entry_id long, code binary, scale float, embedding array<double>, cell int"
         return self.spark.read.schema(schema).parquet(f"{self.path}/{self.table}").where(F.col("cell").isin(cells))
 
-    def search(self, queries: DataFrame, limit: int, probes: int = PROBES, oversample: int = OVERSAMPLE, exclude_self: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, limit: int, probes: int | None = None, oversample: int = OVERSAMPLE, exclude_self: bool = False) -> DataFrame:
         """As `retrieval.dense_search`, from the cells probed: query_id, entry_id, score (cosine of full vectors), rank. Batches above
         `retrieval.FEW_QUERIES` go slice by slice; a null query finds nothing."""
+        probes = probes or self.probes
         asked = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
         some = asked.limit(rt.FEW_QUERIES + 1).collect()
         if len(some) <= rt.FEW_QUERIES:
@@ -159,6 +165,20 @@ class DenseIndex:
         return rt._top(scored, limit, "entry_id")
 
 
+def _probes_needed(table: DataFrame, centroids: np.ndarray) -> int:
+    """The fewest cells, nearest first, that hold RECALL of the neighbours of MEASURED vectors of the table."""
+    queries = table.orderBy(F.xxhash64("entry_id", F.lit(1)), "entry_id").limit(MEASURED).select(F.col("entry_id").alias("query_id"), "embedding").collect()
+    spark = table.sparkSession
+    exact = rt.dense_search(spark.createDataFrame(queries, "query_id long, embedding array<double>"), table, NEIGHBOURS, exclude_self=True).select("query_id", "entry_id").collect()
+    hits = sorted({r["entry_id"] for r in exact})  # at most MEASURED * NEIGHBOURS
+    cell = {r["entry_id"]: r["cell"] for r in table.where(F.col("entry_id").isin(hits)).select("entry_id", "cell").collect()}
+    q = _unit(np.array([r["embedding"] for r in queries], dtype=np.float64)).astype(np.float32)
+    place = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
+    row = {r["query_id"]: k for k, r in enumerate(queries)}
+    needed = sorted(int(place[row[r["query_id"]], cell[r["entry_id"]]]) + 1 for r in exact)
+    return needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)] if needed else 1
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """The share of the exact hits that were found."""
     wanted = exact.select("query_id", "entry_id")

@@ -18,7 +18,7 @@ def vectors_of(spark, n, dims, seed, groups=30):
 def test_recall_against_the_exact_scan(spark, tmp_path):
     vectors = vectors_of(spark, 12_000, 24, 1).repartition(4)
     index = DenseIndex.build(vectors, f"file://{tmp_path}/index", cell_rows=200)
-    assert len(index.centroids) == 60
+    assert len(index.centroids) == 60 and 1 <= index.probes < 30  # grouped vectors need few cells
     queries = vectors.where("entry_id % 50 = 0").select(F.col("entry_id").alias("query_id"), "embedding")
     exact = rt.dense_search(queries, vectors, 10, exclude_self=True)
     found = index.search(queries, 10, exclude_self=True)
@@ -34,6 +34,15 @@ def test_recall_against_the_exact_scan(spark, tmp_path):
     assert "embedding" not in scan.split("ReadSchema")[1]  # and of these the bytes alone
 
 
+def test_vectors_without_groups_need_most_cells(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 24)))], "entry_id long, embedding array<double>")
+    index = DenseIndex.build(vectors, f"file://{tmp_path}/index", cell_rows=100)
+    queries = vectors.where("entry_id % 20 = 0").select(F.col("entry_id").alias("query_id"), "embedding")
+    assert recall(index.search(queries, 10, exclude_self=True), rt.dense_search(queries, vectors, 10, exclude_self=True)) >= 0.99
+    assert index.probes > 15 and DenseIndex(spark, index.path).probes == index.probes
+
+
 def test_ties_odd_rows_and_unpublished(spark, tmp_path, monkeypatch):
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [(40, [0.0, 0.0]), (41, None), (42, [-1.0, 0.5])]
     vectors = spark.createDataFrame(rows, "entry_id long, embedding array<double>")
