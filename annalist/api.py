@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from annalist.functions.text import date_window
 from annalist.operators import backlog as bl
 from annalist.operators import catalog as cat
+from annalist.operators import fulltext as ft
 from annalist.operators import retrieval as rt
 from annalist.operators import telemetry as tel
 from annalist.operators.catalog import Filters
@@ -101,7 +102,9 @@ class Engine:
         # entries of the index are those of the table; their columns for filters stand beside each posting, so no entry is read here
         where = None if filters == Filters() else filters.column()
         if mode == "fts":
-            return self.index.fts_search(queries, fetch, where) if self.index else rt.fts_search(queries, rows, fetch)
+            if self.index:
+                return self.index.ranked_search(queries, fetch, where)
+            return ft.ranked_search(ft.query_stems(queries), ft.entry_words(rows.withColumnRenamed("id", "entry_id"), "entry_id"), fetch)
         if self.index:
             branches = [self.index.sparse_search(queries, branch, where)]
         else:

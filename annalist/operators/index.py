@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from annalist.functions.stem import stemmed
 from annalist.functions.text import tokenize
+from annalist.operators import fulltext as ft
 from annalist.operators import retrieval as rt
 from annalist.storage import delete, names_in, read_text, write_new
 
@@ -26,19 +28,21 @@ from annalist.storage import delete, names_in, read_text, write_new
 BUCKETS = 16
 #: Terms or ids of at most so many rows prune by value; larger batches read all that their bounds allow.
 FEW_TERMS = 10_000
+#: Goes up with every change of the tables; an index of another layout has to be built anew.
+LAYOUT = 2
 
 _FACTS = "entry_id long, project string, source_type string, component string, kind string, doc_status string, occurred_at timestamp"
 _SCHEMAS = {
     "points": f"{_FACTS}, seq int, chunk string, segment int",
     "postings": f"{_FACTS}, seq int, segment int, term long, weight double, bucket int",
-    "words": f"{_FACTS}, segment int, token string, bucket int",
+    "words": f"{_FACTS}, segment int, token string, places array<int>, in_title int, stem string, bucket int",
     "ids": "entry_id long, chunks long, removed boolean, segment int",
     "frequencies": "term long, df long, bucket int",
 }
 
 
 class SearchIndex:
-    """The index at `path`, as its newest manifest has it: points, postings (of chunks), words (distinct tokens of whole entries)."""
+    """The index at `path`, as its newest manifest has it: points, postings (of chunks), words (distinct tokens of whole entries, with places)."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -53,7 +57,10 @@ class SearchIndex:
         versions = sorted(n for n in names_in(self.spark, f"{self.path}/manifest") if n.endswith(".json"))
         if not versions:
             raise FileNotFoundError(f"no index is published at {self.path}")
-        self.manifest = json.loads(read_text(self.spark, f"{self.path}/manifest/{versions[-1]}"))
+        manifest = json.loads(read_text(self.spark, f"{self.path}/manifest/{versions[-1]}"))
+        if manifest.get("layout") != LAYOUT:
+            raise ValueError(f"the index at {self.path} has layout {manifest.get('layout')}, not {LAYOUT}: build it anew")
+        self.manifest = manifest
 
     @staticmethod
     def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
@@ -67,7 +74,7 @@ class SearchIndex:
         versions = sorted(n for n in names_in(spark, f"{path}/manifest") if n.endswith(".json"))
         version = int(versions[-1].split(".")[0]) + 1 if versions else 0
         name, added = _write_segment(spark, path, entries, version, buckets, None)
-        cls._publish(spark, path, {"version": version, "buckets": buckets, "points": added, "segments": [[name, version]]})
+        cls._publish(spark, path, {"version": version, "layout": LAYOUT, "buckets": buckets, "points": added, "segments": [[name, version]]})
         return cls(spark, path)
 
     # reading
@@ -126,15 +133,22 @@ class SearchIndex:
         weights = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
         return rt.sparse_search(queries, postings, weights, limit)
 
+    def _words(self, asked: DataFrame, where: Column | None) -> DataFrame:
+        """Words in the buckets of the stems asked for."""
+        words = self._current(self._read("words", self._asked_buckets(asked, "stem", _bucket(F.crc32("stem"), self.buckets))))
+        return words if where is None else words.where(where)
+
     def fts_search(self, queries: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
         """As `retrieval.fts_search` over the stored tokens of entries."""
-        asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
-        words = self._current(self._read("words", self._asked_buckets(asked, "token", _bucket(F.crc32("token"), self.buckets))))
-        if where is not None:
-            words = words.where(where)
-        scored = words.join(asked, "token").groupBy("query_id", "entry_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+        asked = stemmed(queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token")), "token")
+        scored = self._words(asked, where).join(asked, ["stem", "token"]).groupBy("query_id", "entry_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
         return rt._top(scored, limit, "entry_id")
 
+    def ranked_search(self, queries: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
+        """As `fulltext.ranked_search` over the stored words: stems meet, titles and neighbours count."""
+        asked = ft.query_stems(queries)
+        return ft.ranked_search(asked, self._words(asked, where), limit)
+
     # writing
 
     def _held(self, ids: DataFrame) -> DataFrame:
@@ -169,7 +183,7 @@ class SearchIndex:
         at = F.lit(version).alias("segment")
         points = self.points().withColumn("segment", at)
         points.repartitionByRange(self.buckets, "entry_id").sortWithinPartitions("entry_id", "seq").write.parquet(f"{folder}/table=points")
-        for table, order in (("postings", "term"), ("words", "token")):
+        for table, order in (("postings", "term"), ("words", "stem")):
             _write_buckets(self._current(self._table(table, segments)).withColumn("segment", at), f"{folder}/table={table}", order)
         df = self._table("frequencies", segments).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0")
         _write_frequencies(df, folder)
@@ -229,8 +243,8 @@ def _write_segment(spark: SparkSession, path: str, entries: DataFrame, version:
     points = spark.read.schema(_SCHEMAS["points"]).parquet(f"{folder}/table=points")
     _write_buckets(_terms(points).withColumn("bucket", _bucket(F.col("term"), buckets)), f"{folder}/table=postings", "term")
     facts = entries.withColumnRenamed("id", "entry_id")
-    words = facts.select(*_fact_names(), at, F.explode(F.array_distinct(tokenize(F.concat("title", F.lit(" "), "body")))).alias("token"))
-    _write_buckets(words.withColumn("bucket", _bucket(F.crc32("token"), buckets)), f"{folder}/table=words", "token")
+    words = ft.entry_words(facts, *_fact_names()).withColumn("segment", at)
+    _write_buckets(words.withColumn("bucket", _bucket(F.crc32("stem"), buckets)), f"{folder}/table=words", "stem")
 
     chunks = points.groupBy("entry_id").agg(F.count(F.lit(1)).alias("chunks"))
     ids = facts.select("entry_id").join(chunks, "entry_id", "left").select("entry_id", F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"), F.lit(False).alias("removed"), at)

@@ -57,7 +57,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def _top(scored: DataFrame, limit: int, *ties: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *ties)
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < limit)
+    # a limit on the bare row number lets each task drop what can't be among the best before the shuffle
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return best.withColumn("rank", F.col("rank") - 1)
 
 
 def sparse_search(queries: DataFrame, postings: DataFrame, weights: DataFrame, limit: int) -> DataFrame:
@@ -72,7 +74,7 @@ def sparse_search(queries: DataFrame, postings: DataFrame, weights: DataFrame, l
 
 def fts_search(queries: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
     """Fallback without an index: entries with any of the query's tokens, those with more of them first."""
-    tokens = entries.select(F.col("id").alias("entry_id"), F.explode(F.array_distinct(tokenize(F.concat("title", F.lit(" "), "body")))).alias("token"))
+    tokens = entries.select(F.col("id").alias("entry_id"), F.explode(F.array_distinct(tokenize(F.concat_ws(" ", "title", "body")))).alias("token"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
     scored = tokens.join(asked, "token").groupBy("query_id", "entry_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return _top(scored, limit, "entry_id")
