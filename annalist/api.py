@@ -104,7 +104,8 @@ class Engine:
         if mode == "fts":
             if self.index:
                 return self.index.ranked_search(queries, fetch, where)
-            return ft.ranked_search(ft.query_stems(queries), ft.entry_words(rows.withColumnRenamed("id", "entry_id"), "entry_id"), fetch)
+            words = ft.entry_words(rows.withColumnRenamed("id", "entry_id"), "entry_id")
+            return ft.ranked_search(ft.query_stems(queries), ft.vocabulary(words), words, fetch)
         if self.index:
             branches = [self.index.sparse_search(queries, branch, where)]
         else:

@@ -1,6 +1,7 @@
 """Ranked full text: any of a query's words finds an entry, more of them rank it higher, then titles, repeats and words that stand together.
 
-The words of entries are a table with positions (`entry_words`); a stored index holds the same table by stem. Words meet by their stems.
+The words of entries are a table with positions (`entry_words`), and a stored index holds the same. Words meet by their stems, and stems cost more than
+all else here, so they are told once for each distinct word (`vocabulary`): a query's stems become the words that the entries have for them.
 """
 
 from __future__ import annotations
@@ -24,10 +25,16 @@ def whole_text() -> Column:
 
 
 def entry_words(entries: DataFrame, *keep: str) -> DataFrame:
-    """A row for each distinct token of each entry: `keep`, token, stem, its places (from 0, title first) and how many are in the title."""
+    """A row for each distinct token of each entry: `keep`, token, its places (from 0, title first) and how many are in the title."""
     tokens = entries.select(*keep, F.size(tokenize(F.col("title"))).alias("title_size"), F.posexplode(tokenize(whole_text())).alias("place", "token"))
-    words = tokens.groupBy(*keep, "token").agg(F.sort_array(F.collect_list("place")).alias("places"), F.count_if(F.col("place") < F.col("title_size")).cast("int").alias("in_title"))
-    return stemmed(words, "token")
+    return tokens.groupBy(*keep, "token").agg(F.sort_array(F.collect_list("place")).alias("places"), F.count_if(F.col("place") < F.col("title_size")).cast("int").alias("in_title"))
+
+
+def vocabulary(words: DataFrame, parts: int | None = None) -> DataFrame:
+    """The distinct tokens of `words`, each with its stem."""
+    tokens = words.select("token").distinct()
+    # few bytes but much to do for each: a number that is asked for isn't made smaller at run time
+    return stemmed(tokens.repartition(parts, "token") if parts else tokens, "token")
 
 
 def query_stems(queries: DataFrame) -> DataFrame:
@@ -45,14 +52,14 @@ def _repeats(n: Column) -> Column:
     return F.when(n < 1, F.lit(0.0)).otherwise(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
 
 
-def ranked_search(asked: DataFrame, words: DataFrame, limit: int) -> DataFrame:
-    """The best `limit` entries of each query of `query_stems`: query_id, entry_id, score, matched, near, rank from 0.
+def ranked_search(asked: DataFrame, known: DataFrame, words: DataFrame, limit: int) -> DataFrame:
+    """The best `limit` entries of each query of `query_stems`, with the vocabulary `known` of the words: query_id, entry_id, score, matched, near, rank from 0.
 
     `matched` counts the query's stems that the entry holds, `near` the query's neighbours that are neighbours in the entry too. The score is
     `matched` and less than one for the rest: half of it the weights of the words found (a repeat adds less than the one before, titles weigh more),
     half of it the share of neighbours. Equal scores: the smaller id comes first.
     """
-    met = words.select("stem", "entry_id", "places", "in_title").join(asked, "stem")
+    met = words.select("token", "entry_id", "places", "in_title").join(asked.join(known, "stem"), "token")
     # words of one stem are one
     held = met.groupBy("query_id", "entry_id", "stem").agg(
         F.flatten(F.collect_list("places")).alias("places"), F.sum("in_title").cast("int").alias("titled"), *(F.first(c).alias(c) for c in ("follows", "asked", "pairs"))

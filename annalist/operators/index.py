@@ -1,4 +1,4 @@
-"""A stored search index: points, postings by term, document frequencies and entry tokens, as tables of segments under one folder.
+"""A stored search index: points, postings by term, document frequencies, entry tokens and their stems, as tables of segments under one folder.
 
 A build writes one segment; an upsert writes another, with the ids it replaces and what it changes in the document frequencies, so its work
 follows the batch. A manifest names the segments that count; it is written last, under a name that only one writer can take. So what
@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.functions.stem import stemmed
 from annalist.functions.text import tokenize
 from annalist.operators import fulltext as ft
 from annalist.operators import retrieval as rt
@@ -35,7 +34,8 @@ _FACTS = "entry_id long, project string, source_type string, component string, k
 _SCHEMAS = {
     "points": f"{_FACTS}, seq int, chunk string, segment int",
     "postings": f"{_FACTS}, seq int, segment int, term long, weight double, bucket int",
-    "words": f"{_FACTS}, segment int, token string, places array<int>, in_title int, stem string, bucket int",
+    "words": f"{_FACTS}, segment int, token string, places array<int>, in_title int, bucket int",
+    "vocabulary": "token string, stem string, bucket int",
     "ids": "entry_id long, chunks long, removed boolean, segment int",
     "frequencies": "term long, df long, bucket int",
 }
@@ -134,20 +134,22 @@ class SearchIndex:
         return rt.sparse_search(queries, postings, weights, limit)
 
     def _words(self, asked: DataFrame, where: Column | None) -> DataFrame:
-        """Words in the buckets of the stems asked for."""
-        words = self._current(self._read("words", self._asked_buckets(asked, "stem", _bucket(F.crc32("stem"), self.buckets))))
+        """Words in the buckets of the tokens asked for."""
+        words = self._current(self._read("words", self._asked_buckets(asked, "token", _bucket(F.crc32("token"), self.buckets))))
         return words if where is None else words.where(where)
 
     def fts_search(self, queries: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
         """As `retrieval.fts_search` over the stored tokens of entries."""
-        asked = stemmed(queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token")), "token")
-        scored = self._words(asked, where).join(asked, ["stem", "token"]).groupBy("query_id", "entry_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+        asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
+        scored = self._words(asked, where).join(asked, "token").groupBy("query_id", "entry_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
         return rt._top(scored, limit, "entry_id")
 
     def ranked_search(self, queries: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
         """As `fulltext.ranked_search` over the stored words: stems meet, titles and neighbours count."""
         asked = ft.query_stems(queries)
-        return ft.ranked_search(asked, self._words(asked, where), limit)
+        # a token is in the vocabulary of each segment that has it
+        known = self._read("vocabulary", self._asked_buckets(asked, "stem", _bucket(F.crc32("stem"), self.buckets))).select("stem", "token").distinct()
+        return ft.ranked_search(asked, known, self._words(asked.join(known, "stem"), where), limit)
 
     # writing
 
@@ -183,8 +185,9 @@ class SearchIndex:
         at = F.lit(version).alias("segment")
         points = self.points().withColumn("segment", at)
         points.repartitionByRange(self.buckets, "entry_id").sortWithinPartitions("entry_id", "seq").write.parquet(f"{folder}/table=points")
-        for table, order in (("postings", "term"), ("words", "stem")):
+        for table, order in (("postings", "term"), ("words", "token")):
             _write_buckets(self._current(self._table(table, segments)).withColumn("segment", at), f"{folder}/table={table}", order)
+        _write_vocabulary(self._table("vocabulary", segments).distinct(), folder)
         df = self._table("frequencies", segments).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0")
         _write_frequencies(df, folder)
         self.coverage().withColumns({"removed": F.lit(False), "segment": at}).write.parquet(f"{folder}/table=ids")
@@ -226,6 +229,10 @@ def _write_frequencies(df: DataFrame, folder: str) -> None:
     df.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/table=frequencies")
 
 
+def _write_vocabulary(known: DataFrame, folder: str) -> None:
+    known.repartition("bucket").sortWithinPartitions("bucket", "stem").write.partitionBy("bucket").parquet(f"{folder}/table=vocabulary")
+
+
 def _terms(points: DataFrame) -> DataFrame:
     """The distinct tokens of each point with the filters' columns, so a filtered search joins nothing: term and weight."""
     facts = [c for c in points.columns if c != "chunk"]
@@ -243,8 +250,12 @@ def _write_segment(spark: SparkSession, path: str, entries: DataFrame, version:
     points = spark.read.schema(_SCHEMAS["points"]).parquet(f"{folder}/table=points")
     _write_buckets(_terms(points).withColumn("bucket", _bucket(F.col("term"), buckets)), f"{folder}/table=postings", "term")
     facts = entries.withColumnRenamed("id", "entry_id")
-    words = ft.entry_words(facts, *_fact_names()).withColumn("segment", at)
-    _write_buckets(words.withColumn("bucket", _bucket(F.crc32("stem"), buckets)), f"{folder}/table=words", "stem")
+    # tokens are the dear part: entries that come in a few big partitions are dealt out first
+    dealt = facts if facts.rdd.getNumPartitions() >= buckets else facts.repartition(buckets)
+    words = ft.entry_words(dealt, *_fact_names()).withColumn("segment", at)
+    _write_buckets(words.withColumn("bucket", _bucket(F.crc32("token"), buckets)), f"{folder}/table=words", "token")
+    known = ft.vocabulary(spark.read.schema(_SCHEMAS["words"]).parquet(f"{folder}/table=words"), buckets)
+    _write_vocabulary(known.withColumn("bucket", _bucket(F.crc32("stem"), buckets)), folder)
 
     chunks = points.groupBy("entry_id").agg(F.count(F.lit(1)).alias("chunks"))
     ids = facts.select("entry_id").join(chunks, "entry_id", "left").select("entry_id", F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"), F.lit(False).alias("removed"), at)

@@ -139,7 +139,7 @@ def test_ranked_search_equals_brute_force(spark, tmp_path):
     entries = entries_of(spark, rows)
     words = ft.entry_words(entries.withColumnRenamed("id", "entry_id"), "entry_id")
     want = brute(rows, queries, 12)
-    assert found(ft.ranked_search(ft.query_stems(asked), words, 12)) == want and want
+    assert found(ft.ranked_search(ft.query_stems(asked), ft.vocabulary(words), words, 12)) == want and want
     index = SearchIndex.build(entries, f"file://{tmp_path}/index", buckets=3)
     assert found(index.ranked_search(asked, 12)) == want
     changed = {r[0]: r for r in rows} | {3: (3, "doc", "worker pool", "resized"), 5: (5, "doc", "", "")}
@@ -151,7 +151,7 @@ def test_what_ranks_higher(spark):
     rows = [(1, "doc", "note", "the pool was resized"), (2, "doc", "pools", "nothing"), (3, "doc", "note", "pools of workers"), (4, "doc", "note", "workers and then other pools"), (5, "doc", "x", "y")]
     words = ft.entry_words(entries_of(spark, rows).withColumnRenamed("id", "entry_id"), "entry_id")
     asked = spark.createDataFrame([(1, "pool"), (2, "pool worker")], "query_id long, text string")
-    hits = found(ft.ranked_search(ft.query_stems(asked), words, 9))
+    hits = found(ft.ranked_search(ft.query_stems(asked), ft.vocabulary(words), words, 9))
     assert [h[2] for h in hits if h[0] == 1] == [2, 1, 3, 4]  # titles before bodies; a stem is enough
     assert [h[2] for h in hits if h[0] == 2] == [3, 4, 2, 1]  # more words first, of those the one where they stand together
 
