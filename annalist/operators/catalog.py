@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annalist.operators import meta
+
 #: Projects are few (a row a repository); joined by broadcast only below this many, else by shuffle.
 FEW_PROJECTS = 100_000
 
@@ -23,6 +25,8 @@ class Filters:
     doc_status: str | None = None
     since: str | None = None
     until: str | None = None
+    #: (path of keys, text) that the VARIANT column `meta` must have; rows need that column only where this is given.
+    meta: tuple[tuple[tuple[str, ...], str], ...] = ()
 
     def column(self) -> Column:
         out = F.lit(True)
@@ -42,6 +46,8 @@ class Filters:
             out &= F.col("occurred_at") >= F.lit(self.since).cast("timestamp")
         if self.until:
             out &= F.col("occurred_at") <= F.lit(self.until).cast("timestamp")
+        for keys, text in self.meta:
+            out &= meta.equals(F.col("meta"), keys, text)
         return out
 
 

@@ -172,6 +172,8 @@ _EVENT = "type STRING, timestamp STRING, cwd STRING, summary STRING, message STR
 # fixed values: tools whose calls say what was done
 EDITS = ("Edit", "Write", "MultiEdit", "NotebookEdit")
 ACTIONS = (*EDITS, "Bash", "Task", "Agent", "Skill")
+# fixed value: characters of a first prompt
+FIRST_PROMPT_MOST = 120
 
 
 def transcript_events(lines: DataFrame) -> DataFrame:
@@ -214,20 +216,27 @@ def transcript(lines: DataFrame) -> DataFrame:
     return _entry(kept, "transcript", title, F.substring("what", 1, BODY_MOST), F.col("at"), session=F.col("session_id"), ref=_ref(), meta=F.struct("kind"))
 
 
-def sessions(lines: DataFrame) -> DataFrame:
-    """One row a session, folded over all its lines: times, folder, title, counts, files touched."""
+def session_events(lines: DataFrame) -> DataFrame:
+    """What each line says of its session: pos, at, cwd, summary, the prompt (`asked`, null if none), `actions` and `paths` touched."""
     events = transcript_events(lines)
-    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("pos")))
     prose = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n\n")
     rows = events.withColumn("prose", prose).withColumn("tools", F.filter("blocks", lambda b: (b["type"] == "tool_use") & b["name"].isin(*ACTIONS)))
     asked = (F.col("type") == "user") & (F.coalesce("prose", F.lit("")) != "") & ~is_noise(F.coalesce("prose", F.lit("")))
-    rows = rows.withColumn("asked", F.when(asked, F.col("prose")))
     paths = F.transform(F.filter("tools", lambda b: b["name"].isin(*EDITS)), _target)
-    return rows.groupBy("project", "source_path", "session_id").agg(
-        first("cwd").alias("cwd"), first("summary").alias("title"), F.substring(first("asked"), 1, 120).alias("first_prompt"),
+    return rows.select(
+        "project", "source_path", "session_id", "pos", "at", "cwd", "summary", F.when(asked, F.col("prose")).alias("asked"),
+        F.when(F.col("tools").isNotNull(), F.size("tools")).alias("actions"), F.filter(paths, lambda p: p.isNotNull()).alias("paths"),
+    )
+
+
+def sessions(lines: DataFrame) -> DataFrame:
+    """One row a session, folded over all its lines: times, folder, title, counts, files touched."""
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("pos")))
+    return session_events(lines).groupBy("project", "source_path", "session_id").agg(
+        first("cwd").alias("cwd"), first("summary").alias("title"), F.substring(first("asked"), 1, FIRST_PROMPT_MOST).alias("first_prompt"),
         F.min("at").alias("started_at"), F.max("at").alias("ended_at"), F.count_if(F.col("asked").isNotNull()).alias("prompt_count"),
-        F.coalesce(F.sum(F.size("tools")), F.lit(0)).alias("action_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(paths, lambda p: p.isNotNull()))))).alias("files_touched"),
+        F.coalesce(F.sum("actions"), F.lit(0)).alias("action_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("paths")))).alias("files_touched"),
     )
 
 
