@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,11 @@ from annalist.llm.shared import column, settle
 
 CAPACITY = 2048
 END_ID = 0
-#: Word ids remembered by a task; when full the memory starts anew.
+#: Word ids remembered by a process; when full, words met again stay.
 WORDS_HELD = 600_000
 TEXTS_AT_ONCE = 512
+#: Bytes of text encoded at once, or one text: the more, the less often a word is looked up.
+BYTES_AT_ONCE = 8 << 20
 
 
 class WordEncoder:
@@ -47,7 +50,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words are remembered here; its own memory of 10,000 costs more than it saves
         self.known: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -66,24 +72,47 @@ class WordEncoder:
         data, at = ids.tobytes(), [0, *(4 * edges).tolist()]
         return {w: data[at[i] : at[i + 1]] for i, w in enumerate(words)}
 
-    def learn(self, words: set[bytes]) -> None:
-        if not words:
+    def learn(self, ordered: list[bytes]) -> None:
+        if not ordered:
             return
-        ordered = list(words)
         parts = self._LINES.findall(b"\n".join(ordered).decode())
         ids = self._ask_letters(list({body for body, _, _ in parts if body}))
         marks = {m: self._ask(m) if m else b"" for m in {m for _, m, _ in parts}}
-        self.known.update((word, self._ask(other) if other else ids[body] + marks[mark]) for word, (body, mark, other) in zip(ordered, parts, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [None if self._SPECIAL in t else t.encode().lower().split() for t in texts]
-        new = set().union(*(x for x in lists if x)).difference(self.known)
-        if len(self.known) + len(new) > WORDS_HELD and self.known:
-            self.known.clear()
-            new = set().union(*(x for x in lists if x))
+        self.known.update((word, ids[body] + marks[mark] if body else self._ask(other)) for word, (body, mark, other) in zip(ordered, parts, strict=True))
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. When the memory is full, words met again since they were learned stay in it."""
+        parts = list(map(self.known.get, words))
+        new = [w for w, part in zip(words, parts, strict=True) if part is None]
+        if new and len(self.known) + len(new) > WORDS_HELD:
+            kept = self.again if len(self.again) + len(new) <= WORDS_HELD else ()
+            self.known, self.again = {w: self.known[w] for w in kept}, set()
+        elif len(new) < len(words):
+            self.again.update(words)
+            self.again.difference_update(new)
+        if not new:
+            return parts
         self.learn(new)
-        find = self.known.__getitem__
-        return [self._ask(t) if x is None else b"".join(map(find, x)) for t, x in zip(texts, lists, strict=True)]
+        return [self.known[w] if part is None else part for w, part in zip(words, parts, strict=True)]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Words are numbered by Arrow, so a word is looked up once a call however often the texts hold it."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        special = pc.match_substring(texts, self._SPECIAL)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+        at = lists.offsets.to_numpy()
+        coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        words, number = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        parts = self._look_up(words)
+        ids, size = np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        # the ids of each word's place: from where its word's ids begin, less what stands before the place, counted on
+        many = size[number]
+        stop = np.concatenate([[0], np.cumsum(many)])
+        out = ids[np.repeat((np.cumsum(size) - size)[number] - stop[:-1], many) + np.arange(stop[-1])]
+        ends = stop[at - at[0]]
+        data, cuts = out.tobytes(), (4 * ends).tolist()
+        whole = special.to_pylist()
+        return [self._ask(texts[k].as_py()) if whole[k] else data[cuts[k] : cuts[k + 1]] for k in range(len(texts))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -96,6 +125,16 @@ def encoder_of(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """From where to where the rows go that are encoded at once."""
+    stop = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(stop):
+        last = max(first + 1, int(np.searchsorted(stop, BYTES_AT_ONCE + (stop[first - 1] if first else 0), side="right")))
+        yield first, last
+        first = last
+
+
 def _cutter(path: str, capacity: int, keep_ids: bool):
     """(doc_id, text) → the pieces of each document, with the task's number and the piece's rank in it for its length."""
 
@@ -106,9 +145,9 @@ def _cutter(path: str, capacity: int, keep_ids: bool):
         for batch in batches:
             out: list[list] = [[] for _ in names]
             docs = batch.column(0).to_pylist()
-            for first in range(0, len(docs), TEXTS_AT_ONCE):
-                texts = [x.as_py() or "" for x in batch.column(1)[first : first + TEXTS_AT_ONCE]]
-                for doc, ids in zip(docs[first : first + TEXTS_AT_ONCE], encoder.encode(texts), strict=True):
+            texts = batch.column(1).fill_null("")
+            for first, last in _stretches(texts):
+                for doc, ids in zip(docs[first:last], encoder.encode(texts.slice(first, last - first)), strict=True):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

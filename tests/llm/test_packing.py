@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from annalist.llm import packing
 from annalist.llm.packing import SumIndex, WordEncoder, pack, plan_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -78,3 +80,24 @@ def test_sum_index_against_brute_force():
         if length:
             index.remove(length)
     assert not index.single.any() and not index.pairs.any() and not index.triples.any()
+
+
+def test_words_met_again_stay(monkeypatch):
+    """A full memory keeps the words that texts hold again and again, so they are asked for once; ids stay the tokenizer's."""
+    monkeypatch.setattr(packing, "WORDS_HELD", 30)
+    encoder, plain, learned = WordEncoder(PATH), Tokenizer.from_file(PATH), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda words: (learned.extend(words), learn(words)))
+    common = [f"common{'abcdefgh'[k]}" for k in range(8)]
+    rare = iter(f"rare{a}{b}" for a in "abcdefghij" for b in "klmnopqrst")
+    for _ in range(10):
+        texts = pa.array(["cut off", " ".join([*common, next(rare), " \x0bÉa<", next(rare), *common]), "", f"a <|endoftext|>{next(rare)}", next(rare)]).slice(1)
+        for text, got in zip(texts.to_pylist(), encoder.encode(texts), strict=True):
+            assert np.frombuffer(got, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) <= 30 and all(learned.count(w.encode()) == 1 for w in common)
+
+
+def test_stretches_take_every_row_once(monkeypatch):
+    monkeypatch.setattr(packing, "BYTES_AT_ONCE", 10)
+    texts = pa.array(["x" * n for n in (3, 7, 1, 25, 0, 0, 9, 1, 0)])
+    assert list(packing._stretches(texts)) == [(0, 2), (2, 3), (3, 4), (4, 9)] and list(packing._stretches(texts[:0])) == []
