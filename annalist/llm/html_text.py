@@ -4,13 +4,14 @@ A page is cut into blocks, and structure gives each a zone. BODY: inside an arti
 headers, footers, sidebars, notices, adverts, forms, comments, and, where a page has an article, all that stands
 outside it. OPEN: pages without an article, and parts of an article that only a vague word in class, id or role marks.
 
-The tokens of a page's blocks outside BODY are its stream. The streams of a host are compared as one suffix array
-would: a suffix enters the table by the hash of its first tokens, a run of whole blocks of LEAST_TOKENS tokens or more or a
-stretch of PASSAGE_TOKENS, and suffixes with equal beginnings meet, however many pages the host has. A longer repeat is
-the union of such windows, so no deeper order is needed. What MANY_PAGES pages of different streams hold (on a host of few
-pages, half of its pages, but two at least) is boilerplate: it leaves OPEN blocks, of which unique runs stay. A page that would
-lose all its text keeps it. ASIDE goes whether its host repeats it or not, BODY stays: an article that a host carries
-twice would vanish otherwise.
+The tokens of a page's blocks outside BODY are its stream. The suffixes of all streams that can begin a repeat are sorted,
+host by host, dealt over tasks by range: neighbours' common beginnings tell of each suffix how many tokens of it enough pages
+have, and beginnings that go on past a task's first or last suffix are counted over all tasks, so a host may have any number of
+pages. Such a repeat covers its whole blocks where it begins with a block and has LEAST_TOKENS or more, and any stretch of
+PASSAGE_TOKENS; repeats inside longer ones add nothing. What MANY_PAGES pages of different
+streams hold (on a host of few pages, half of its pages, but two at least) is boilerplate: it leaves OPEN blocks, of which
+unique runs stay. A page that would lose all its text keeps it. ASIDE goes whether its host repeats it or not, BODY stays: an
+article that a host carries twice would vanish otherwise.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,13 @@ PASSAGE_TOKENS = 50
 MANY_PAGES = 10
 #: A stream of more than 1/HOT_SHARE of all pages is hot; there are fewer than HOT_SHARE of them, so they can be broadcast.
 HOT_SHARE = 1000
+#: About how many suffixes a task compares at most; it holds them at once.
+SUFFIXES_A_TASK = 500_000
 #: Distinct tokens whose hashes a task remembers.
 REMEMBERED = 200_000
+# fixed values: bytes of a token's code in the head of a suffix, and what tells the two kinds of heads apart
+_CODE = 8
+_RUN, _STRETCH = b"\0", b"\1"
 # fixed values: an odd number and its inverse modulo 2^64, for hashes of windows
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -183,25 +190,6 @@ def _stream(page: list[str]) -> list[str]:
     return [t for block in page for t in (*block.split(), "\n")]
 
 
-def _window_spans(page: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """From where to where the windows of a page's stream go that are compared with other pages: the shortest runs of whole
-    blocks from and up to each block, and all stretches of PASSAGE_TOKENS. An article ('') ends a run."""
-    sizes = [len(block.split()) + 1 for block in page]
-    at = [0, *np.cumsum(sizes).tolist()]
-    spans = set()
-    for n in range(len(page)):
-        for step in (1, -1):
-            k, total = n, 0
-            while 0 <= k < len(page) and page[k] and total < LEAST_TOKENS:
-                total += sizes[k]
-                k += step
-            if total >= LEAST_TOKENS:
-                spans.add((at[n], at[k]) if step == 1 else (at[k + 1], at[n + 1]))
-    spans.update((k, k + PASSAGE_TOKENS) for k in range(at[-1] - PASSAGE_TOKENS + 1))
-    both = np.array(sorted(spans), dtype=np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
 def _token_hashes(stream: list[str], known: dict[str, tuple[int, int]]) -> np.ndarray:
     if len(known) > REMEMBERED:
         known.clear()
@@ -229,32 +217,155 @@ def _hashes(host: str, stream: list[str], start: np.ndarray, stop: np.ndarray, k
     return (of + tokens[:, :1] * np.uint64(_BACK) + (stop - start).astype(np.uint64)).view(np.int64)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, host, stream) → row and hash of the windows of its stream, each once."""
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, host, stream) → row, at, head: the suffixes of a stream that can begin a repeat, with what orders them.
+
+    A suffix at the start of a block has the codes of its tokens up to the last end of a block within PASSAGE_TOKENS; an article
+    ends it. One of PASSAGE_TOKENS or more anywhere has a name of 128 bits for that many: its place among others doesn't
+    matter before that depth, and longer runs of blocks are made of such stretches. Before both stand the host and the kind."""
     known: dict[str, tuple[int, int]] = {}
     for batch in batches:
         for row, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            start, stop = _window_spans(page)
+            stream = _stream(page)
+            codes = _token_hashes([host, *stream], known)[0].astype(">u8").tobytes()
+            ends = [0, *np.cumsum([len(block.split()) + 1 for block in page]).tolist()]
+            places, heads = [], []
+            for n in range(len(page)):
+                k = n
+                while k < len(page) and page[k] and ends[k + 1] - ends[n] <= PASSAGE_TOKENS:
+                    k += 1
+                if ends[k] - ends[n] >= LEAST_TOKENS:
+                    places.append(ends[n])
+                    heads.append(codes[:_CODE] + _RUN + codes[_CODE * (1 + ends[n]) : _CODE * (1 + ends[k])])
+            start = np.arange(len(stream) - PASSAGE_TOKENS + 1)
             if len(start):
-                h = np.unique(_hashes(host, _stream(page), start, stop, known), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(h.shape[1], row)), pa.array(h[0]), pa.array(h[1])], names=["row", "h", "g"])
+                names = _hashes(host, stream, start, start + PASSAGE_TOKENS, known).T.tobytes()
+                places += start.tolist()
+                heads += [codes[:_CODE] + _STRETCH + names[16 * k : 16 * k + 16] for k in start.tolist()]
+            if places:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(places), row)), pa.array(places, pa.int64()), pa.array(heads, pa.binary())], names=["row", "at", "head"]
+                )
+
+
+def _common(one: bytes, other: bytes) -> int:
+    """How many tokens two suffixes have in common at least; less than LEAST_TOKENS counts as none."""
+    least = _CODE + 1 + _CODE * LEAST_TOKENS
+    if one[_CODE : _CODE + 1] == _STRETCH:
+        return PASSAGE_TOKENS if one == other else 0
+    if one[:least] != other[:least]:
+        return 0
+    size = (min(len(one), len(other)) - _CODE - 1) // _CODE
+    x, y = (np.frombuffer(h, dtype="<u8", count=size, offset=_CODE + 1) for h in (one, other))
+    differ = np.flatnonzero(x != y)
+    return int(differ[0]) if len(differ) else size
+
+
+_COMPARED = "task int, row long, at long, stretch boolean, lengths array<long>, first long, last long, side int, depth long, prefix binary, pages array<long>"
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, at, head) in order of head and row → of each suffix that others begin like: for 2, 3, ... MANY_PAGES pages, how many
+    tokens that many pages of this task have in common with it, and how many it has in common with the task's first and last suffix.
+
+    Repeats may go on in the tasks beside. So of the first and the last suffix's beginnings (`side`, `depth`, `prefix`) up to
+    MANY_PAGES pages of the task that have them are given as well."""
+    rows, places, heads = [], [], []
+    task = TaskContext.get().partitionId()
+    for batch in batches:
+        for row, at, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if heads and heads[-1] == head and rows[-1] == row:
+                places[-1].append(at)
+            else:
+                rows.append(row), places.append([at]), heads.append(head)
+    n = len(heads)
+    if not n:
+        return
+    lcp = np.array([0, *map(_common, heads, heads[1:])], dtype=np.int64)  # of each suffix and the one before it
+    edge = np.zeros((2, n), dtype=np.int64)
+    out: list[tuple] = []
+    for side, (top, step) in enumerate(((0, 1), (n - 1, -1))):
+        size = PASSAGE_TOKENS if heads[top][_CODE : _CODE + 1] == _STRETCH else (len(heads[top]) - _CODE - 1) // _CODE
+        k, depth, pages = top, size, []
+        while 0 <= k < n and depth >= LEAST_TOKENS:
+            edge[side, k] = depth
+            if rows[k] not in pages[:MANY_PAGES]:
+                pages.append(rows[k])
+            k += step
+            shared = min(depth, int(lcp[k if step == 1 else k + 1])) if 0 <= k < n else 0
+            for d in range(depth, max(shared, LEAST_TOKENS - 1), -1):
+                whole = heads[top][_CODE : _CODE + 1] == _STRETCH
+                if d == PASSAGE_TOKENS or not whole:
+                    prefix = heads[top] if whole else heads[top][: _CODE + 1 + _CODE * d]
+                    out.append((task, None, None, None, None, None, None, side, d, prefix, pages[:MANY_PAGES]))
+            depth = shared
+    lengths = np.zeros((MANY_PAGES - 1, n), dtype=np.int64)
+    cuts = np.flatnonzero(lcp < LEAST_TOKENS).tolist() + [n]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for k in range(2, min(MANY_PAGES, b - a) + 1):
+            held: Counter[int] = Counter()
+            j = a
+            for i in range(a, b):
+                while j < b and len(held) < k:
+                    held[rows[j]] += 1
+                    j += 1
+                if len(held) < k:
+                    break
+                np.maximum(lengths[k - 2, i:j], lcp[i + 1 : j].min(), out=lengths[k - 2, i:j])
+                held[rows[i]] -= 1
+                if not held[rows[i]]:
+                    del held[rows[i]]
+    for k in np.flatnonzero((lengths[0] > 0) | (edge[0] > 0) | (edge[1] > 0)).tolist():
+        for at in places[k]:
+            stretch = heads[k][_CODE : _CODE + 1] == _STRETCH
+            out.append((task, rows[k], at, stretch, lengths[:, k].tolist(), int(edge[0, k]), int(edge[1, k]), None, None, None, None))
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    names = [field.split()[0] for field in _COMPARED.split(", ")]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def _repeats(streams: DataFrame) -> DataFrame:
+    """(row, host, stream) → row, at, length, stretch: for each suffix the longest beginning that enough pages of its host have."""
+    suffixes = streams.select("row", "host", "stream").mapInArrow(_suffixes, "row long, at long, head binary")
+    tokens = streams.agg(F.sum(F.size(F.split(F.array_join("stream", " "), " ")))).first()[0] or 0
+    tasks = [tokens // SUFFIXES_A_TASK] if tokens // SUFFIXES_A_TASK > int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    ordered = suffixes.repartitionByRange(*tasks, "head", "row").sortWithinPartitions("head", "row")
+    found = settle(ordered.mapInArrow(_compared, _COMPARED), "suffixes-compared")
+    # what begins as a task's first or last suffix is counted over all tasks; there are two such suffixes a task
+    edges = found.where("side IS NOT NULL").select("task", "side", "depth", "prefix", "pages")
+    over_all = edges.groupBy("prefix").agg(F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("n"))
+    reached = [F.max(F.when(F.col("n") >= k, F.col("depth")).otherwise(0)) for k in range(2, MANY_PAGES + 1)]
+    of_task = edges.join(over_all, "prefix").groupBy("task", "side").agg(F.array(*reached).alias("reach"))
+    first, last = (of_task.where(F.col("side") == n).select("task", F.col("reach").alias(f"reach{n}")) for n in range(2))
+    few = F.greatest(F.lit(2), F.least(F.lit(MANY_PAGES), F.ceil(F.count(F.lit(1)) / F.lit(2))))
+    needed = streams.groupBy("host").agg((few - 2).cast("int").alias("needed"))
+    of_row = found.where("row IS NOT NULL").join(F.broadcast(first), "task", "left").join(F.broadcast(last), "task", "left")
+    of_row = of_row.join(streams.select("row", "host"), "row").join(needed, "host")
+    beside = [F.least(e, F.coalesce(F.get(f"reach{n}", "needed"), F.lit(0))) for n, e in enumerate(("first", "last"))]
+    return of_row.select("row", "at", F.greatest(F.get("lengths", "needed"), *beside).alias("length"), "stretch").where(F.col("length") >= LEAST_TOKENS)
+
+
+def _gone(page: list[str], repeats: list[dict]) -> np.ndarray:
+    """Which tokens of a page's stream its repeats cover: stretches, and whole blocks of runs."""
+    ends = np.cumsum([0, *(len(block.split()) + 1 for block in page)])
+    gone = np.zeros(int(ends[-1]) + 1, dtype=np.int64)
+    for r in repeats:
+        stop = r["at"] + r["length"]
+        if not r["stretch"]:
+            stop = int(ends[np.searchsorted(ends, stop, side="right") - 1])
+        if stop - r["at"] >= LEAST_TOKENS:
+            gone[r["at"]] += 1
+            gone[stop] -= 1
+    return np.cumsum(gone[:-1]) > 0
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(same, host, stream, zones, hs, gs) → same, its OPEN blocks without the windows whose hashes are given ('' for other
-    blocks), and how many tokens of the whole stream those windows cover."""
-    known: dict[str, tuple[int, int]] = {}
+    """(same, stream, zones, repeats) → same, its OPEN blocks without what the repeats cover ('' for other blocks), and how many
+    tokens of the whole stream they cover."""
     for batch in batches:
         rows, left, covered = [], [], []
-        for same, host, page, zones, hs, gs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            stream, (start, stop) = _stream(page), _window_spans(page)
-            bad = set(zip(hs, gs, strict=True))
-            gone = np.zeros(len(stream) + 1, dtype=np.int64)
-            if len(start) and bad:
-                hit = np.array([pair in bad for pair in zip(*_hashes(host, stream, start, stop, known).tolist(), strict=True)])
-                np.add.at(gone, start[hit], 1)
-                np.add.at(gone, stop[hit], -1)
-            gone = np.cumsum(gone[:-1]) > 0
+        for same, page, zones, repeats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            stream, gone = _stream(page), _gone(page, repeats or [])
             unique = [t if zone == OPEN else "" for zone, t in zip(zones, _unique(page, stream, gone), strict=True)]
             if not any(unique) and BODY not in zones:
                 unique = [t if zone == OPEN else "" for zone, t in zip(zones, page, strict=True)]
@@ -283,17 +394,8 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
     # a stream is known by what it says, so pages are parsed anew for the result rather than written
     streams = parsed.where("same IS NOT NULL").groupBy("same").agg(*(F.first(c).alias(c) for c in ("host", "stream", "zones")), F.count(F.lit(1)).alias("times"))
     streams = settle(streams.withColumn("row", F.monotonically_increasing_id()), "page-streams")
-    windows = streams.select("row", "host", "stream").mapInArrow(_windows, "row long, h long, g long")
-    few = F.greatest(F.lit(2), F.least(F.lit(MANY_PAGES), F.ceil(F.count(F.lit(1)) / F.lit(2))))
-    needed = streams.groupBy("host").agg(few.alias("needed"))
-    # counted before the shuffle, so a window on every page of a host meets no single task; skewed joins are split by AQE
-    often = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("pages"), F.min("row").alias("row")).where("pages > 1")
-    repeated = often.join(streams.select("row", "host"), "row").join(needed, "host").where("pages >= needed").select("h", "g")
-    repeated = settle(repeated, "repeated-windows")
-    held = windows.join(repeated, ["h", "g"]).groupBy("row").agg(F.collect_list("h").alias("hs"), F.collect_list("g").alias("gs"))
-    marked = streams.join(held, "row", "left").select(
-        "same", "host", "stream", "zones", *(F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("hs", "gs"))
-    )
+    held = _repeats(streams).groupBy("row").agg(F.collect_list(F.struct("at", "length", "stretch")).alias("repeats"))
+    marked = streams.join(held, "row", "left").select("same", "stream", "zones", "repeats")
     unique = marked.mapInArrow(_without, "same string, unique array<string>, covered long")
     unique = settle(unique.join(streams.select("same", "times"), "same"), "page-unique")
     # streams that very many pages have are few by definition and go by broadcast; pages without a stream and theirs are spread by a key of no match

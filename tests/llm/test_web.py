@@ -229,6 +229,40 @@ def test_whole_query_against_sorted_suffixes(spark, monkeypatch):
     assert got == brute(rows) and sum(n for _, n in got.values()) > 100
 
 
+@pytest.mark.parametrize("tasks", [1, 40])
+def test_longest_repeats_over_tasks(spark, monkeypatch, tasks):
+    """Of each suffix at a block the longest beginning that enough pages have, though its repeats go on over several tasks."""
+    monkeypatch.setattr(html_text, "SUFFIXES_A_TASK", 1)
+    streams = []
+    for row in range(30):  # all begin alike, 15 of them for longer, 12 for longer still
+        shared = ["a b c d e", "f g h", *(["i j k"] if row % 2 else []), *(["l m n o"] if row in range(1, 24, 2) else []), f"own{row} x"]
+        streams.append((row, "h", shared if row < 29 else [*shared[:2], "", "i j k"]))
+    streams += [(30 + n, "few", [*(f"w{k}" for k in range(6 + n % 2)), f"end{n}"]) for n in range(4)]
+    passage = " ".join(f"p{k}" for k in range(60))
+    streams += [(40 + n, "long", [f"before{n} {passage} after{n}"]) for n in range(3)] + [(43, "long", ["none of it"])]
+    df = spark.createDataFrame(streams, "row long, host string, stream array<string>").repartition(5).cache()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(html_text, "SUFFIXES_A_TASK", 10**9 if tasks == 1 else 12)
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        got = {(r.row, r.at, r.stretch): r.length for r in html_text._repeats(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {}
+    for row, host, page in streams:
+        starts = [0, *itertools.accumulate(len(b.split()) + 1 for b in page)][:-1]
+        own = [(n, html_text._stream(page[n:][: (page[n:] + [""]).index("")])) for n in range(len(page)) if page[n]]
+        for n, suffix in own:
+            others = [html_text._stream(q[m:][: (q[m:] + [""]).index("")]) for r, h, q in streams if h == host and r != row for m in range(len(q))]
+            rows = [r for r, h, q in streams if h == host and r != row for m in range(len(q))]
+            needed = max(2, min(10, -(-sum(h == host for _, h, _ in streams) // 2)))
+            best = max(k for k in range(len(suffix) + 1) if k == 0 or len({r for r, o in zip(rows, others) if o[:k] == suffix[:k]}) + 1 >= needed)
+            if best >= html_text.LEAST_TOKENS and len(suffix) <= html_text.PASSAGE_TOKENS:
+                want[row, starts[n], False] = best
+    want |= {(40 + n, 1 + k, True): 50 for n in range(3) for k in range(11)}
+    assert got == want and len(set(want.values())) > 3
+
+
 def test_extract(spark):
     menu = "<div>all our offers are on the front page today</div>"
     rows = [(1, "http://h.org/a", PAGE), (2, "http://h.org/b", f"<body>{menu}<div>a text of its own</div></body>"), (3, "http://h.org/c", f"<body>{menu}<div>another one entirely</div></body>")]
