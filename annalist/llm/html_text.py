@@ -261,6 +261,25 @@ def _common(one: bytes, other: bytes) -> int:
     return int(differ[0]) if len(differ) else size
 
 
+def _shortest(rows: list[int], many: int) -> Iterator[tuple[int, int]]:
+    """The shortest spans with `many` different rows from each place on and, where rows repeat, also up to each place: a place
+    in any span of so many lies in one of them that the span contains."""
+    for turned in (False, True) if len(set(rows)) < len(rows) else (False,):
+        own = rows[::-1] if turned else rows
+        held: Counter[int] = Counter()
+        j = 0
+        for i, row in enumerate(own):
+            while j < len(own) and len(held) < many:
+                held[own[j]] += 1
+                j += 1
+            if len(held) < many:
+                break
+            yield (len(own) - j, len(own) - i) if turned else (i, j)
+            held[row] -= 1
+            if not held[row]:
+                del held[row]
+
+
 _COMPARED = "task int, row long, at long, stretch boolean, lengths array<long>, first long, last long, side int, depth long, prefix binary, pages array<long>"
 
 
@@ -303,18 +322,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cuts = np.flatnonzero(lcp < LEAST_TOKENS).tolist() + [n]
     for a, b in zip(cuts, cuts[1:], strict=False):
         for k in range(2, min(MANY_PAGES, b - a) + 1):
-            held: Counter[int] = Counter()
-            j = a
-            for i in range(a, b):
-                while j < b and len(held) < k:
-                    held[rows[j]] += 1
-                    j += 1
-                if len(held) < k:
-                    break
-                np.maximum(lengths[k - 2, i:j], lcp[i + 1 : j].min(), out=lengths[k - 2, i:j])
-                held[rows[i]] -= 1
-                if not held[rows[i]]:
-                    del held[rows[i]]
+            for i, j in _shortest(rows[a:b], k):
+                np.maximum(lengths[k - 2, a + i : a + j], lcp[a + i + 1 : a + j].min(), out=lengths[k - 2, a + i : a + j])
     for k in np.flatnonzero((lengths[0] > 0) | (edge[0] > 0) | (edge[1] > 0)).tolist():
         for at in places[k]:
             stretch = heads[k][_CODE : _CODE + 1] == _STRETCH

@@ -263,6 +263,17 @@ def test_longest_repeats_over_tasks(spark, monkeypatch, tasks):
     assert got == want and len(set(want.values())) > 3
 
 
+def test_spans_of_pages_that_repeat_themselves():
+    rng = random.Random(3)
+    for _ in range(300):
+        rows, many = [rng.randrange(4) for _ in range(rng.randrange(1, 9))], rng.randrange(2, 5)
+        found = list(html_text._shortest(rows, many))
+        assert all(len(set(rows[i:j])) == many for i, j in found)
+        for x, y in itertools.combinations(range(len(rows) + 1), 2):
+            if len(set(rows[x:y])) >= many:
+                assert all(any(x <= i <= k < j <= y for i, j in found) for k in range(x, y)), (rows, many, x, y)
+
+
 def test_extract(spark):
     menu = "<div>all our offers are on the front page today</div>"
     rows = [(1, "http://h.org/a", PAGE), (2, "http://h.org/b", f"<body>{menu}<div>a text of its own</div></body>"), (3, "http://h.org/c", f"<body>{menu}<div>another one entirely</div></body>")]
