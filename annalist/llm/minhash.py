@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from annalist.llm import wordhash
 from annalist.llm.components import connected_components
-from annalist.llm.shared import column, discard, in_slices, settle, settle_counted
+from annalist.llm.shared import bound_batches, column, discard, in_slices, settle, settle_counted, tidied
 
 BANDS, ROWS, BITS = 24, 5, 2
 #: A pair is confirmed on full sets when its estimate is at most so many standard deviations below the threshold.
@@ -177,7 +177,7 @@ def _shingle_sets(rows: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     """(rep, hashes) of the classes in `needed(rep)`, read from the texts of just those rows. How many are needed grows with the
     corpus, so they are merged with the rows at any size."""
     texts = needed.hint("merge").join(rows.select(F.col("row").alias("rep"), "text"), "rep").select("rep", "text")
-    return settle(texts.mapInArrow(_set_reader(width), "rep long, hashes binary"), "shingle-sets")
+    return settle(texts.mapInArrow(tidied(_set_reader(width)), "rep long, hashes binary"), "shingle-sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(
         sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b"
     )
-    return settle(full.select("a", "b", "x", "y").mapInArrow(_confirmer(percent), "a long, b long"), "links")
+    return settle(full.select("a", "b", "x", "y").mapInArrow(tidied(_confirmer(percent)), "a long, b long"), "links")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -247,10 +247,11 @@ def _block_linker(percent: int, near: float):
 def near_duplicate_rows(docs: DataFrame, carried: list[str], id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
     """→ (doc, id, text, n_shingles, row, component_id, kept) for each row of `docs`: `doc` is a struct of the `carried`
     columns, `row` tells rows apart, the kept row of a component is the one least by id (null ids last) and then by `row`."""
+    bound_batches(docs.sparkSession)
     base = docs.select(
         F.struct(*(column(c) for c in carried)).alias("doc"), column(id_column).cast("long").alias("id"), column(text_column).cast("string").alias("text")
     )
-    sketch = base.mapInArrow(_sketcher(width), T.StructType([*base.schema.fields, *_SKETCH]))
+    sketch = base.mapInArrow(tidied(_sketcher(width)), T.StructType([*base.schema.fields, *_SKETCH]))
     rows = settle(sketch.withColumn("row", F.monotonically_increasing_id()), "sketch")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
     classes = settle(

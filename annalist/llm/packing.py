@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalist.llm.shared import column, settle
+from annalist.llm.shared import bound_batches, column, kept, settle, tidied
 
 CAPACITY = 2048
 END_ID = 0
@@ -115,14 +115,11 @@ class WordEncoder:
         return [self._ask(texts[k].as_py()) if whole[k] else data[cuts[k] : cuts[k + 1]] for k in range(len(texts))]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
-    """The encoder of this process: a worker that runs several tasks loads the vocabulary once."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The encoder of this process: a worker that runs several tasks loads the vocabulary once, until tasks of another kind come."""
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -315,10 +312,11 @@ def pack(
     (its piece is the end id alone). Ids are carried, not interpreted: null and repeated ones are packed as rows of
     their own. An empty table gives no piece.
     """
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    bound_batches(docs.sparkSession)
+    stay = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     cut = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids binary" * keep_ids
     source = docs.select(column(id_column).cast("long").alias("doc_id"), column(text_column).cast("string").alias("text"))
-    pieces = settle(source.mapInArrow(_cutter(tokenizer_path, capacity, keep_ids), cut), "pieces")
+    pieces = settle(source.mapInArrow(tidied(_cutter(tokenizer_path, capacity, keep_ids), keeps=tokenizer_path), cut), "pieces")
 
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
@@ -328,6 +326,6 @@ def pack(
         counts[row["length"]] = row["n"]
     plan = plan_packing(counts, capacity)
 
-    ranked = pieces.join(starts.drop("n"), ["length", "task"]).select(*kept, (F.col("rank") + F.col("before")).alias("rank"))
+    ranked = pieces.join(starts.drop("n"), ["length", "task"]).select(*stay, (F.col("rank") + F.col("before")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
     return ranked.mapInArrow(_placer(plan), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist.llm import wordhash
-from annalist.llm.shared import column, in_slices, settle
+from annalist.llm.shared import bound_batches, column, in_slices, settle, tidied
 
 VECTORS, DIM, NONZERO, REACH = 4096, 64, 4, 2
 SHAPES = 512  # of the VECTORS rows, the first SHAPES belong to shapes
@@ -93,7 +93,7 @@ def _neighbour_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """Unit vectors of the VECTORS rows, from all texts of a one-column table."""
-    partial = texts.mapInArrow(_neighbour_sums, "unit int, sums array<bigint>")
+    partial = texts.mapInArrow(tidied(_neighbour_sums), "unit int, sums array<bigint>")
     total = partial.groupBy("unit").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(DIM)))
     table = np.zeros((VECTORS, DIM))
     rows = total.toArrow()  # VECTORS rows at most; whole numbers, so any order gives the same sums
@@ -179,6 +179,7 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE
 ) -> tuple[np.ndarray, Network]:
     """Vectors from all texts, and a network fitted on at most `sample` labelled rows (see `score_quality`)."""
+    bound_batches(docs.sparkSession)
     source = docs.select(column(id_column).cast("long").alias("doc_id"), column(text_column).cast("string").alias("text"))
     vectors = word_vectors(source.select("text"))
     known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).where(
@@ -194,7 +195,7 @@ def fit_quality(
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), flat], names=["doc_id", "label", "x"])
 
     taught = source.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label")  # `sample` ids at most
-    rows = taught.mapInArrow(featurise, "doc_id long, label int, x array<float>").toArrow()
+    rows = taught.mapInArrow(tidied(featurise), "doc_id long, label int, x array<float>").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
     return vectors, fit(x[order], rows.column("label").to_numpy()[order] > 0)
@@ -212,7 +213,7 @@ def with_score(docs: DataFrame, vectors: np.ndarray, net: Network, text_column:
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     if not isinstance(kind, T.StringType):
         plain = plain.withColumn(f"c{text}", F.col(f"c{text}").cast("string"))
-    return plain.mapInArrow(score, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+    return plain.mapInArrow(tidied(score), T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -7,11 +7,13 @@ the driver see that folder, so losing an executor costs only its running tasks.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -19,6 +21,11 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that a task gives back at once where it carries whole texts: the JVM holds each such batch outside its heap.
 ROWS_GIVEN = 1024
+#: Bytes of a batch that a task gets at once, or one row: it lies outside the JVM's heap, and in the Python worker again.
+BYTES_GOT = 8 << 20
+
+#: What this worker process keeps for later tasks, by name.
+kept: dict[str, Any] = {}
 
 _own_folder: str | None = None
 _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -89,3 +96,37 @@ def in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The rows of `batch`, ROWS_GIVEN at a time."""
     for at in range(0, batch.num_rows, ROWS_GIVEN):
         yield batch.slice(at, ROWS_GIVEN)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python tasks in batches of about BYTES_GOT, unless it is set to smaller ones. All rows are
+    handed over: only how many at a time changes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if now.startswith("-") or spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BYTES_GOT:
+        spark.conf.set(name, str(BYTES_GOT))
+
+
+def drop_kept(but: str | None) -> None:
+    for name in kept.keys() - {but}:
+        del kept[name]
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system: neither Arrow nor the C library does it by itself."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, before which what tasks of other kinds `kept` in this process goes, and after which its free memory goes back. Tasks of all
+    stages run in the same few workers, and what these hold counts against their executor."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(keeps)
+        yield from run(batches)
+        give_back()
+
+    return tidy

@@ -4,10 +4,14 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from annalist.llm.minhash import drop_near_duplicates
+from annalist.llm.packing import encoder_of
+from annalist.llm.shared import BYTES_GOT, bound_batches, tidied
 from tests.llm.test_dedup import groups, shingles
 
 
@@ -105,3 +109,33 @@ def test_odd_rows(spark, corpus):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert sum(r.piece == 0 for r in pieces) == len(rows)
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).collect() == []
+
+
+def _batch_bytes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+
+def test_batches_of_long_texts(spark, tmp_path):
+    """Python tasks get at most BYTES_GOT and a row at once, and all rows."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat(id, ' w '), 200000) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    long = 1_200_000
+    assert drop_near_duplicates(docs).count() == 40
+    got = docs.coalesce(1).select("text").mapInArrow(_batch_bytes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 40
+    assert max(r["bytes"] for r in got) <= BYTES_GOT + long
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    bound_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_workers_keep_the_encoder_only_while_they_pack():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = encoder_of(path)
+    assert list(tidied(lambda batches: batches, keeps=path)(iter([]))) == []
+    assert encoder_of(path) is encoder
+    assert list(tidied(lambda batches: batches)(iter([]))) == []
+    assert encoder_of(path) is not encoder
