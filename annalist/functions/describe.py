@@ -75,12 +75,13 @@ def query_id(text: Column, filters: Column) -> Column:
     return F.lpad(F.lower(F.hex(fnv1a(F.concat(even, F.lit("|"), given)))), 8, "0")
 
 
-def leakage(question: Column, entry: Column, exempt: Column | None = None) -> Column:
-    """Share of the question's distinct tokens, less exempt ones, that the entry has too; 0 without tokens."""
-    asked = F.array_distinct(tokenize(question))
+def leakage(question: Column, entry: Column, exempt: Column | None = None, literals: bool = True) -> Column:
+    """Share of the question's distinct tokens, less exempt ones, that the entry has too; 0 without tokens. Without `literals` dotted names
+    and measurements are one token each."""
+    asked = F.array_distinct(tokenize(question, literals))
     if exempt is not None:
-        asked = F.array_except(asked, tokenize(exempt))
-    shared = F.size(F.array_intersect(asked, tokenize(entry)))
+        asked = F.array_except(asked, tokenize(exempt, literals))
+    shared = F.size(F.array_intersect(asked, tokenize(entry, literals)))
     return F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(shared / F.size(asked))
 
 
